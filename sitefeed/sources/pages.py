@@ -77,3 +77,13 @@ def html_pages(snapshot: DataFrame) -> DataFrame:
 def seeds(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
     """(site_id, seed_url) from a small mapping; larger seed lists come as a table."""
     return spark.createDataFrame(list(sites.items()), "site_id string, seed_url string")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores when a table comes in fewer splits than there are cores.
+
+    Page parsing is CPU-bound, so a small file in one row group would occupy one
+    core. Tables with enough splits, hence all large ones, stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
