@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefeed.functions import feedxml, html, urls
+from sitefeed.functions.exprs import with_computed
 from sitefeed.operators import articles as article_ops
 from sitefeed.operators import exact_dedup, near_dedup
 from sitefeed.operators.article_list import article_index, select_article
@@ -21,7 +22,7 @@ from sitefeed.plans.site_feeds import site_feeds
 from sitefeed.runtime import materialize
 from sitefeed.sources.pages import html_pages, page_snapshot, spread
 
-ARTICLE_BODY = "(?s)<article>.*?</article>"
+BODY = "regexp_extract(html, '(?s)<article>.*?</article>', 0)"
 LINK_DEPTH = 12
 
 
@@ -45,7 +46,7 @@ def _page_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One site per registrable domain, seeded with its first page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.groupBy(urls.registrable_domain(F.col("url")).alias("site_id")).agg(
+    return pages.groupBy(F.expr(urls.registrable_domain("url")).alias("site_id")).agg(
         F.min_by("url", "page_id").alias("seed_url")
     )
 
@@ -53,11 +54,11 @@ def _domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2") -> DataFrame:
     """Articles of all pages, content = the article element, in page order per domain."""
     pages = _pages(spark, sf_dir).select(
-        urls.registrable_domain(F.col("url")).alias("site_id"),
+        F.expr(urls.registrable_domain("url")).alias("site_id"),
         F.col("page_id").alias("crawl_rank"),
         "url",
         "html",
-        F.regexp_extract("html", ARTICLE_BODY, 0).alias("main"),
+        F.expr(BODY).alias("main"),
     )
     return article_ops.page_articles(pages, mode).select(
         "site_id", "crawl_rank", "title", "url", "content", "content_text"
@@ -69,7 +70,7 @@ def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2") -> DataFrame:
 
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(
-        "page_id", urls.normalize_url(F.col("url")).alias("url_norm")
+        "page_id", F.expr(urls.normalize_url("url")).alias("url_norm")
     )
 
 
@@ -84,9 +85,9 @@ def url_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    return pages.groupBy(urls.registrable_domain(F.col("url")).alias("domain")).agg(
+    return pages.groupBy(F.expr(urls.registrable_domain("url")).alias("domain")).agg(
         F.count("*").alias("n_pages"),
-        F.countDistinct(urls.url_host(F.col("url"))).alias("n_hosts"),
+        F.countDistinct(F.expr(urls.url_host("url"))).alias("n_hosts"),
     )
 
 
@@ -116,7 +117,7 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    known = pages.select(urls.normalize_url(F.col("url")).alias("dst_url"))
+    known = pages.select(F.expr(urls.normalize_url("url")).alias("dst_url"))
     return (
         page_links(pages)
         .join(known, "dst_url", "left_anti")
@@ -136,16 +137,16 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = html.fix_image_urls(F.regexp_extract("html", ARTICLE_BODY, 0), F.col("url"))
+    fixed = F.expr(html.fix_image_urls(BODY, "url"))
     return _image_pages(spark, sf_dir).select("page_id", fixed.alias("content"))
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = html.extract_title(F.col("html"), F.col("url"))
+    title = F.expr(html.extract_title("html", "url"))
     return (
         _pages(spark, sf_dir)
         .select("page_id", "url", title.alias("title"))
-        .select("page_id", "title", html.decorate_title(F.col("title"), F.col("url")).alias("decorated"))
+        .select("page_id", "title", F.expr(html.decorate_title("title", "url")).alias("decorated"))
     )
 
 
@@ -169,14 +170,14 @@ def title_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "page_id",
             "v.variant",
-            html.extract_title(F.col("v.html"), F.col("url")).alias("title"),
-            html.extract_title(F.col("v.html"), F.col("url"), "v1").alias("title_v1"),
+            F.expr(html.extract_title("v.html", "url")).alias("title"),
+            F.expr(html.extract_title("v.html", "url", "v1")).alias("title_v1"),
         )
     )
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return _pages(spark, sf_dir).select("page_id", F.expr(html.html_to_text("html")).alias("text"))
 
 
 def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,27 +190,23 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose own text was too short, with the text of the fallback."""
-    body = F.regexp_extract("html", ARTICLE_BODY, 0)
-    thin = with_text(_pages(spark, sf_dir), body).where(article_ops.is_short(F.col("text")))
+    texts = with_computed(_pages(spark, sf_dir), "text", html.html_to_text(BODY))
+    thin = texts.where(article_ops.is_short("text"))
     return thin.select(
         "page_id",
         F.length("text").alias("n_chars"),
-        html.html_to_text(article_ops.fallback_content(F.col("html"), None)).alias("fallback"),
-        article_ops.fallback_content(F.col("html"), None, "v1").alias("fallback_v1"),
+        F.expr(html.html_to_text(article_ops.fallback_content("html"))).alias("fallback"),
+        F.expr(article_ops.fallback_content("html", None, "v1")).alias("fallback_v1"),
     )
 
 
-def with_text(pages: DataFrame, body: Column) -> DataFrame:
-    return pages.withColumn("text", html.html_to_text(body))
-
-
 def extracted_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user extractor (heading plus URL) applied to thin pages only."""
 
     def heading(page_urls, page_html):
         return page_html.str.extract("(<h1>.*?</h1>)", expand=False) + "<p>" + page_urls + "</p>"
 
-    pages = _pages(spark, sf_dir).withColumn("main", F.regexp_extract("html", ARTICLE_BODY, 0))
+    pages = _pages(spark, sf_dir).withColumn("main", F.expr(BODY))
     return article_ops.page_articles(pages, "v2", heading).select("page_id", "content")
 
 
@@ -270,7 +267,7 @@ def _label_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """
     pages = _pages(spark, sf_dir)
     page, label = F.format_string("page %d", "page_id"), F.concat(F.lit("label "), "href")
-    found = pages.select("page_id", F.posexplode_outer(html.hrefs(F.col("html"))).alias("pos", "href"))
+    found = pages.select("page_id", F.posexplode_outer(F.expr(html.hrefs("html"))).alias("pos", "href"))
     found = materialize(found.where(F.col("pos").isNotNull()), "labels")
     first = F.min("pos").cast("bigint").alias("pos")
     out = found.groupBy(page.alias("src"), label.alias("dst")).agg(first)
@@ -303,7 +300,7 @@ def visit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first MAX_PAGES articles of every domain, in page order."""
     keys = _pages(spark, sf_dir).select(
-        urls.registrable_domain(F.col("url")).alias("site_id"), "page_id"
+        F.expr(urls.registrable_domain("url")).alias("site_id"), "page_id"
     )
     ranked = with_positions(keys, ["site_id"], ["page_id"], "crawl_rank")
     return ranked.where(F.col("crawl_rank") < MAX_PAGES)

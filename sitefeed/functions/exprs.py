@@ -1,34 +1,62 @@
-"""Small helpers for composing Column expressions."""
+"""Composing SQL expression text.
+
+The functions of this package take and return SQL expression text, for
+``F.expr``, ``selectExpr`` or ``spark.sql``. Page expressions run to hundreds of
+nodes; as one text they reach the JVM in one call and parse in milliseconds.
+"""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip() removes.
 STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+_names = itertools.count()
+
+
+def fresh() -> str:
+    """A lambda variable name not used elsewhere."""
+    return f"v{next(_names)}"
+
+
+def text(value: str) -> str:
+    """String literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def strings(values) -> str:
+    """Comma-separated string literals, for IN lists."""
+    return ", ".join(text(v) for v in values)
+
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """Bind ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    v = fresh()
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
 
 
-def strip(text: Column) -> Column:
+def strip(value: str) -> str:
     """Unicode-aware strip of both ends."""
-    return F.btrim(text, F.lit(STRIP_CHARS))
+    return f"btrim({value}, {text(STRIP_CHARS)})"
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+def replaced(value: str, pairs) -> str:
+    """Chain of plain replacements, applied in the given order."""
+    for old, new in pairs:
+        value = f"replace({value}, {text(old)}, {text(new)})"
+    return value
 
 
-def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+def with_computed(df: DataFrame, name: str, value: str) -> DataFrame:
     """Add ``value`` so that later filters on ``name`` do not compute it again.
 
     A filter on a projected column is pushed below the projection together with
     a copy of its expression. A one-element generator is a boundary for that.
     """
-    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+    return df.select("*", F.expr(f"explode_outer(array({value})) AS {name}"))

@@ -1,9 +1,11 @@
-"""RSS 2.0 text: escaping, items, channel head and tail."""
+"""RSS 2.0 text: escaping, items, channel head and tail.
+
+All functions take and return SQL expression text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from sitefeed.functions.exprs import replaced, text
 
 # The channel texts of a site feed.
 CHANNEL_TITLE_SUFFIX = " 全站 RSS"
@@ -14,50 +16,43 @@ HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0">\n<channel>\n
 TAIL = "</channel>\n</rss>"
 
 
-def legal_xml(text: Column) -> Column:
+MARKUP = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+
+
+def legal_xml(value: str) -> str:
     """Drop characters XML 1.0 does not allow, so one bad page cannot break a feed."""
-    return F.regexp_replace(text, XML_ILLEGAL, "")
+    return f"regexp_replace({value}, {text(XML_ILLEGAL)}, '')"
 
 
-def escape_xml(text: Column) -> Column:
-    out = legal_xml(text)
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        out = F.replace(out, F.lit(char), F.lit(name))
-    return out
+def escape_xml(value: str) -> str:
+    return replaced(legal_xml(value), MARKUP)
 
 
-def cdata(text: Column) -> Column:
+def cdata(value: str) -> str:
     """CDATA section; an inner ``]]>`` is split over two sections."""
-    split = F.replace(legal_xml(text), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
-    return F.concat(F.lit("<![CDATA["), split, F.lit("]]>"))
-
-
-def rss_item(title: Column, url: Column, content: Column) -> Column:
-    return F.concat(
-        F.lit("<item>\n<title>"),
-        escape_xml(title),
-        F.lit("</title>\n<link>"),
-        escape_xml(url),
-        F.lit("</link>\n<description>"),
-        cdata(content),
-        F.lit("</description>\n</item>"),
+    split = replaced(legal_xml(value), [("]]>", "]]]]><![CDATA[>")])
+    return f"concat('<![CDATA[', {split}, ']]>')"
+
+
+def rss_item(title: str, url: str, content: str) -> str:
+    return (
+        f"concat({text('<item>' + chr(10) + '<title>')}, {escape_xml(title)}, "
+        f"{text('</title>' + chr(10) + '<link>')}, {escape_xml(url)}, "
+        f"{text('</link>' + chr(10) + '<description>')}, {cdata(content)}, "
+        f"{text('</description>' + chr(10) + '</item>')})"
     )
 
 
-def channel_head(seed_url: Column) -> Column:
+def channel_head(seed_url: str) -> str:
     base = escape_xml(seed_url)
-    return F.concat(
-        F.lit(HEAD + "<title>"),
-        base,
-        F.lit(CHANNEL_TITLE_SUFFIX + "</title>\n<link>"),
-        base,
-        F.lit(f"</link>\n<description>{CHANNEL_DESCRIPTION}</description>"),
+    return (
+        f"concat({text(HEAD + '<title>')}, {base}, "
+        f"{text(CHANNEL_TITLE_SUFFIX + '</title>' + chr(10) + '<link>')}, {base}, "
+        f"{text('</link>' + chr(10) + '<description>' + CHANNEL_DESCRIPTION + '</description>')})"
     )
 
 
-def list_label(title: Column, mode: str = "v2") -> Column:
+def list_label(title: str, mode: str = "v2") -> str:
     """Title as shown in an article list; v1 also turns backticks into quotes."""
-    out = title
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(char), F.lit(name))
-    return F.replace(out, F.lit("`"), F.lit("'")) if mode == "v1" else out
+    label = replaced(title, (*MARKUP, ('"', "&quot;")))
+    return replaced(label, [("`", "'")]) if mode == "v1" else label

@@ -2,6 +2,7 @@
 
 Pages are tokenised with quote-aware regular expressions evaluated in the JVM.
 Possessive quantifiers keep them linear and free of stack growth on long input.
+All functions take and return SQL expression text.
 """
 
 from __future__ import annotations
@@ -10,10 +11,7 @@ import codecs
 import html.entities
 import json
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from sitefeed.functions.exprs import blank_to_null, let, strip
+from sitefeed.functions.exprs import fresh, let, replaced, strip, text
 from sitefeed.functions.urls import last_segment, resolve_url
 
 ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
@@ -29,6 +27,9 @@ SEPARATOR = rf"(?is){OPAQUE}{TEMPLATE}|{TAG}"
 INNER_TAG = rf"(?is){TAG}"
 ATTRIBUTE = r"""(?s)([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]*+))?"""
 
+# A quoted attribute value.
+QUOTED = r"""(?s)^"(.*)"$|^'(.*)'$"""
+
 IMAGE = rf"(?is)<img\b{ATTRS}>"
 ANCHOR = rf"(?is)<a(?=[\s/>]){ATTRS}>"
 META = rf"(?is)<meta\b{ATTRS}>"
@@ -81,138 +82,141 @@ _ENTITY_PATTERN = _entity_pattern()
 _WINDOWS_JSON = _windows_1252()
 
 
-def _numeric_reference(ref: Column) -> Column:
+def _table(entries: str) -> str:
+    """Map literal: parsed once, when the plan is optimised."""
+    return f"from_json({text(entries)}, 'map<string,string>')"
+
+
+def _numeric_reference(ref: str) -> str:
     """Character of ``&#n;`` or ``&#xh;``; U+FFFD where the number is no character."""
-    digits = F.regexp_replace(ref, r"^&#[xX]?|;$", "")
-    is_hex = ref.rlike(r"^&#[xX]")
-    significant = F.regexp_replace(digits, r"^0+(?=.)", "")
-    value = F.when(is_hex, F.conv(significant, 16, 10)).otherwise(significant)
-    code = F.when(F.length(significant) > 7, F.lit(0)).otherwise(value.cast("int"))
-
-    def char(c: Column) -> Column:
-        windows = F.from_json(F.lit(_WINDOWS_JSON), "map<string,string>")
-        invalid = (c == 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF)
-        utf32 = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    digits = f"regexp_replace({ref}, '^&#[xX]?0*|;$', '')"
+    code = let(
+        digits,
+        lambda d: f"CASE WHEN {d} = '' OR length({d}) > 7 THEN 0 WHEN rlike({ref}, '^&#[xX]') "
+        f"THEN CAST(conv({d}, 16, 10) AS int) ELSE CAST({d} AS int) END",
+    )
+
+    def char(c: str) -> str:
         return (
-            F.when(invalid, F.lit("\ufffd"))
-            .when(c.between(0x80, 0x9F), F.element_at(windows, c.cast("string")))
-            .otherwise(utf32)
+            f"CASE WHEN {c} = 0 OR {c} > 1114111 OR {c} BETWEEN 55296 AND 57343 "
+            f"THEN {text(chr(0xFFFD))} WHEN {c} BETWEEN 128 AND 159 "
+            f"THEN element_at({_table(_WINDOWS_JSON)}, CAST({c} AS string)) "
+            f"ELSE decode(unhex(lpad(hex({c}), 8, '0')), 'UTF-32') END"
         )
 
     return let(code, char)
 
 
-def unescape(text: Column) -> Column:
+def unescape(value: str) -> str:
     """Decode character references.
 
     The handful of names that make up almost all references take a chain of
     plain replacements; only text holding others pays for the full table.
     """
-    simple = text
-    for name, char in _COMMON:
-        simple = F.replace(simple, F.lit(name), F.lit(char))
-    names = F.from_json(F.lit(_ENTITY_JSON), "map<string,string>")
-
-    def one(ref: Column) -> Column:
-        return F.when(ref.startswith("&#"), _numeric_reference(ref)).otherwise(
-            F.coalesce(F.try_element_at(names, ref), ref)
+
+    def decode(t: str) -> str:
+        r, g, d = fresh(), fresh(), fresh()
+        pattern = text(_ENTITY_PATTERN)
+        one = (
+            f"if(startswith({r}, '&#'), {_numeric_reference(r)}, "
+            f"coalesce(try_element_at({_table(_ENTITY_JSON)}, {r}), {r}))"
+        )
+        full = (
+            f"array_join(zip_with(split({t}, {pattern}, -1), "
+            f"transform(regexp_extract_all({t}, {pattern}, 0), {r} -> {one}), "
+            f"({g}, {d}) -> concat({g}, coalesce({d}, ''))), '')"
+        )
+        return (
+            f"CASE WHEN NOT contains({t}, '&') THEN {t} "
+            f"WHEN rlike({t}, {text(_RARE_ENTITY)}) THEN {full} ELSE {replaced(t, _COMMON)} END"
         )
 
-    decoded = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY_PATTERN), F.lit(0)), one)
-    gaps = F.split(text, _ENTITY_PATTERN, -1)
-    full = F.array_join(
-        F.zip_with(gaps, decoded, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), ""
-    )
-    return (
-        F.when(~text.contains("&"), text).when(text.rlike(_RARE_ENTITY), full).otherwise(simple)
-    )
+    return let(value, decode)
 
 
-def strip_opaque(page: Column) -> Column:
+def strip_opaque(page: str) -> str:
     """The page without comments, scripts and style sheets."""
-    return F.regexp_replace(page, rf"(?is){OPAQUE}", "")
+    return f"regexp_replace({page}, {text(f'(?is){OPAQUE}')}, '')"
 
 
-def text_nodes(page: Column, separator: str = SEPARATOR) -> Column:
+def text_nodes(page: str) -> str:
     """Array of the stripped, non-empty text nodes in document order."""
-    return F.filter(
-        F.transform(F.split(page, separator, -1), lambda t: strip(unescape(t))), lambda t: t != ""
-    )
+    t, u = fresh(), fresh()
+    pieces = f"split({page}, {text(SEPARATOR)}, -1)"
+    return f"filter(transform({pieces}, {t} -> {strip(unescape(t))}), {u} -> {u} <> '')"
 
 
-def html_to_text(page: Column) -> Column:
+def html_to_text(page: str) -> str:
     """Plain text of a page or fragment: one line per text node."""
-    return F.array_join(text_nodes(page), "\n")
-
+    return f"array_join({text_nodes(page)}, {text(chr(10))})"
 
-def _label(fragment: Column) -> Column:
-    """Text of a heading: its nodes joined without a separator."""
-    return F.array_join(text_nodes(fragment), "")
 
-
-def attributes(tag: Column) -> Column:
-    """Array of struct(name, value) of a start tag; the first entry is the tag name."""
-    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1))
-    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
-    return F.zip_with(
-        names,
-        values,
-        lambda n, v: F.struct(
-            F.lower(n).alias("name"),
-            unescape(F.regexp_replace(v, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")).alias("value"),
-        ),
+def attributes(tag: str) -> str:
+    """Array of struct(name, value) of a start tag."""
+    n, v = fresh(), fresh()
+    pattern = text(ATTRIBUTE)
+    bare = f"regexp_replace({v}, {text(QUOTED)}, '$1$2')"
+    pairs = (
+        f"zip_with(regexp_extract_all({tag}, {pattern}, 1), regexp_extract_all({tag}, {pattern}, 2), "
+        f"({n}, {v}) -> named_struct('name', lower({n}), 'value', {unescape(bare)}))"
     )
+    # The first entry is the tag's own name.
+    return f"slice({pairs}, 2, 1000000)"
 
 
-def attribute(tag: Column, name: str) -> Column:
+def _named(attrs: str, name: str) -> str:
     """Value of one attribute ('' when it has none, NULL when absent; the last one wins)."""
-    return _named(F.slice(attributes(tag), 2, 100000), name)
-
+    a = fresh()
+    return f"try_element_at(filter({attrs}, {a} -> {a}.name = {text(name)}), -1).value"
 
-def _named(attrs: Column, name: str) -> Column:
-    return F.try_element_at(F.filter(attrs, lambda a: a["name"] == name), F.lit(-1))["value"]
 
-
-def hrefs(page: Column) -> Column:
+def hrefs(page: str) -> str:
     """The ``href`` of every anchor of the whole page, in document order."""
-    anchors = F.regexp_extract_all(strip_opaque(page), F.lit(ANCHOR), F.lit(0))
-    return F.filter(
-        F.transform(anchors, lambda a: attribute(a, "href")), lambda h: h.isNotNull()
-    )
+    a, h = fresh(), fresh()
+    anchors = f"regexp_extract_all({strip_opaque(page)}, {text(ANCHOR)}, 0)"
+    found = f"transform({anchors}, {a} -> {_named(attributes(a), 'href')})"
+    return f"filter({found}, {h} -> {h} IS NOT NULL)"
 
 
-def _first_element(clean: Column, name: str) -> Column:
+def _first_element(clean: str, name: str) -> str:
     """Inner markup of the first element ``name`` (NULL when there is none)."""
     start = rf"(?is)<{name}(?=[\s/>]){ATTRS}>"
-    inner = F.regexp_extract(clean, rf"{start}(.*?)(?:</{name}\s*>|\z)", 1)
-    return F.when(clean.rlike(start), inner)
+    whole = text(rf"{start}(.*?)(?:</{name}\s*>|\z)")
+    return f"if(rlike({clean}, {text(start)}), regexp_extract({clean}, {whole}, 1), NULL)"
 
 
-def _title_text(clean: Column) -> Column:
+def _heading(clean: str, name: str) -> str:
+    """Text of the first heading of a kind: its nodes joined without a separator."""
+    return f"array_join({text_nodes(_first_element(clean, name))}, '')"
+
+
+def _title_text(clean: str) -> str:
     """Stripped ``<title>`` if it holds exactly one string, else NULL."""
-    pieces = F.filter(
-        F.split(_first_element(clean, "title"), INNER_TAG, -1), lambda t: t != ""
+    t = fresh()
+    pieces = f"split({_first_element(clean, 'title')}, {text(INNER_TAG)}, -1)"
+    return let(
+        f"filter({pieces}, {t} -> {t} <> '')",
+        lambda p: f"if(size({p}) = 1, {strip(unescape(f'get({p}, 0)'))}, NULL)",
     )
-    return let(pieces, lambda p: F.when(F.size(p) == 1, strip(unescape(F.get(p, F.lit(0))))))
 
 
-def _meta_title(clean: Column) -> Column:
+def _meta_title(clean: str) -> str:
     """Content of og:title, or of twitter:title when no og:title tag exists at all."""
-    metas = F.transform(F.regexp_extract_all(clean, F.lit(META), F.lit(0)), attributes)
+    m = fresh()
 
-    def content(key: str, value: str):
-        return lambda ms: F.try_element_at(
-            F.filter(ms, lambda m: _named(m, key) == value), F.lit(1)
-        )
+    def first(metas: str, key: str, value: str) -> str:
+        a = fresh()
+        return f"try_element_at(filter({metas}, {a} -> {_named(a, key)} = {text(value)}), 1)"
 
-    def pick(ms: Column) -> Column:
-        card = F.coalesce(content("property", "og:title")(ms), content("name", "twitter:title")(ms))
-        return blank_to_null(_named(card, "content"))
+    def pick(ms: str) -> str:
+        card = f"coalesce({first(ms, 'property', 'og:title')}, {first(ms, 'name', 'twitter:title')})"
+        return f"nullif({let(card, lambda c: _named(c, 'content'))}, '')"
 
-    return let(metas, pick)
+    metas = f"regexp_extract_all({clean}, {text(META)}, 0)"
+    return let(f"transform({metas}, {m} -> {attributes(m)})", pick)
 
 
-def extract_title(page: Column, url: Column, mode: str = "v2") -> Column:
+def extract_title(page: str, url: str, mode: str = "v2") -> str:
     """Title of a page.
 
     v2: first h1, else first h2, else first h3 with text, else the social-card
@@ -220,78 +224,79 @@ def extract_title(page: Column, url: Column, mode: str = "v2") -> Column:
     first h1 even if empty, else ``<title>``, else the URL.
     """
 
-    def v2(clean: Column) -> Column:
-        heads = [blank_to_null(_label(_first_element(clean, h))) for h in ("h1", "h2", "h3")]
-        return F.coalesce(
-            *heads, _meta_title(clean), _title_text(clean), blank_to_null(last_segment(url)), url
+    def v2(clean: str) -> str:
+        heads = ", ".join(f"nullif({_heading(clean, h)}, '')" for h in ("h1", "h2", "h3"))
+        return (
+            f"coalesce({heads}, {_meta_title(clean)}, {_title_text(clean)}, "
+            f"nullif({last_segment(url)}, ''), {url})"
         )
 
-    def v1(clean: Column) -> Column:
-        return F.coalesce(_label(_first_element(clean, "h1")), _title_text(clean), url)
+    def v1(clean: str) -> str:
+        return f"coalesce({_heading(clean, 'h1')}, {_title_text(clean)}, {url})"
 
     return let(strip_opaque(page), {"v1": v1, "v2": v2}[mode])
 
 
-def decorate_title(title: Column, url: Column, mode: str = "v2") -> Column:
-    return F.concat(title, F.lit(" ("), url, F.lit(")")) if mode == "v2" else title
+def decorate_title(title: str, url: str, mode: str = "v2") -> str:
+    return f"concat({title}, ' (', {url}, ')')" if mode == "v2" else title
 
 
-def image_source(attrs: Column, mode: str = "v2") -> Column:
+def image_source(attrs: str, mode: str = "v2") -> str:
     """First non-empty address among the attributes an image may keep it in."""
-    return F.coalesce(*[blank_to_null(_named(attrs, n)) for n in IMAGE_SOURCES[mode]])
-
+    return f"coalesce({', '.join(f'nullif({_named(attrs, n)}, {text(str())})' for n in IMAGE_SOURCES[mode])})"
 
-def image_tags(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(IMAGE), F.lit(0))
 
+def image_tags(content: str) -> str:
+    return f"regexp_extract_all({content}, {text(IMAGE)}, 0)"
 
-def _quoted(value: Column) -> Column:
-    out = value
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(char), F.lit(name))
-    return F.concat(F.lit('="'), out, F.lit('"'))
 
+def _quoted(value: str) -> str:
+    escapes = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+    return f"concat('=\"', {replaced(value, escapes)}, '\"')"
 
-def _rewrite_image(tag: Column, base: Column, mode: str) -> Column:
-    def rebuild(attrs: Column) -> Column:
-        def with_source(src: Column) -> Column:
-            absolute = F.coalesce(resolve_url(base, src), src)
-            style = F.lit(IMAGE_STYLE[mode])
-            styled = F.lit(True) if mode == "v1" else src.isNotNull()
 
-            def value(a: Column) -> Column:
-                return (
-                    F.when((a["name"] == "src") & src.isNotNull(), absolute)
-                    .when((a["name"] == "style") & styled, style)
-                    .otherwise(a["value"])
-                )
+def _rewrite_image(tag: str, base: str, mode: str) -> str:
+    style = text(IMAGE_STYLE[mode])
 
-            none = F.array().cast("array<string>")
-            missing = lambda n: ~F.exists(attrs, lambda a: a["name"] == n)
-            kept = F.transform(attrs, lambda a: F.concat(a["name"], _quoted(value(a))))
-            added_src = F.when(
-                src.isNotNull() & missing("src"), F.array(F.concat(F.lit("src"), _quoted(absolute)))
-            ).otherwise(none)
-            added_style = F.when(
-                styled & missing("style"), F.array(F.concat(F.lit("style"), _quoted(style)))
-            ).otherwise(none)
-            body = F.array_join(F.concat(kept, added_src, added_style), " ")
-            return F.concat(F.lit("<img "), body, F.lit("/>"))
+    def rebuild(i: str) -> str:
+        a, b, c = fresh(), fresh(), fresh()
+        has_source = f"{i}.source IS NOT NULL"
+        styled = "true" if mode == "v1" else has_source
+        value = (
+            f"CASE WHEN {a}.name = 'src' AND {has_source} THEN {i}.source "
+            f"WHEN {a}.name = 'style' AND {styled} THEN {style} ELSE {a}.value END"
+        )
+        kept = f"transform({i}.attrs, {a} -> concat({a}.name, {_quoted(value)}))"
+        no_src = f"NOT exists({i}.attrs, {b} -> {b}.name = 'src')"
+        no_style = f"NOT exists({i}.attrs, {c} -> {c}.name = 'style')"
+        none = "CAST(array() AS array<string>)"
+        source = _quoted(f"{i}.source")
+        return (
+            f"concat('<img ', array_join(concat({kept}, "
+            f"if({has_source} AND {no_src}, array(concat('src', {source})), {none}), "
+            f"if({styled} AND {no_style}, array(concat('style', {_quoted(style)})), {none})), "
+            "' '), '/>')"
+        )
 
-        return let(image_source(attrs, mode), with_source)
+    def with_source(attrs: str) -> str:
+        absolute = let(
+            image_source(attrs, mode), lambda s: f"coalesce({resolve_url(base, s)}, {s})"
+        )
+        return let(f"named_struct('attrs', {attrs}, 'source', {absolute})", rebuild)
 
-    return let(F.slice(attributes(tag), 2, 100000), rebuild)
+    return let(attributes(tag), with_source)
 
 
-def fix_image_urls(content: Column, base: Column, mode: str = "v2") -> Column:
+def fix_image_urls(content: str, base: str, mode: str = "v2") -> str:
     """Make image addresses absolute and give images a responsive style.
 
     v2 also accepts lazy-loading attributes and leaves images without address
     alone; v1 reads ``src`` only and styles every image.
     """
-    images = F.transform(image_tags(content), lambda t: _rewrite_image(t, base, mode))
-    gaps = F.split(content, IMAGE, -1)
-    woven = F.array_join(
-        F.zip_with(gaps, images, lambda g, i: F.concat(g, F.coalesce(i, F.lit("")))), ""
+    t, g, i = fresh(), fresh(), fresh()
+    images = f"transform({image_tags(content)}, {t} -> {_rewrite_image(t, base, mode)})"
+    woven = (
+        f"array_join(zip_with(split({content}, {text(IMAGE)}, -1), {images}, "
+        f"({g}, {i}) -> concat({g}, coalesce({i}, ''))), '')"
     )
-    return F.when(content.rlike(IMAGE), woven).otherwise(content)
+    return f"if(rlike({content}, {text(IMAGE)}), {woven}, {content})"

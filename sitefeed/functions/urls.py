@@ -1,17 +1,18 @@
 """URL expressions: normalisation, resolution against a base, site identity.
 
-All functions take and return Columns and stay inside the JVM. ``parse_url`` is
-not used: it raises under ANSI mode on the malformed URLs real pages contain.
+All functions take and return SQL expression text and stay inside the JVM.
+``parse_url`` is not used: it raises under ANSI mode on the malformed URLs real
+pages contain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefeed.functions.exprs import let
+from sitefeed.functions.exprs import fresh, let, strings, text
 
 # RFC 3986 appendix B, with the scheme alphabet of section 3.1.
 SCHEME = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -50,175 +51,177 @@ DEFAULT_SUFFIXES = (
 )
 
 
-def _clean(url: Column) -> Column:
+def _part(url: str, pattern: str) -> str:
+    return f"regexp_extract({url}, {text(pattern)}, 1)"
+
+
+def _clean(url: str) -> str:
     """Drop leading control characters and spaces, and tabs and line breaks anywhere."""
-    return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
+    led = text(r"^[\x00-\x20]+")
+    return f"translate(regexp_replace({url}, {led}, ''), {text(chr(9) + chr(13) + chr(10))}, '')"
 
 
-def split_url(url: Column) -> Column:
+def split_url(url: str) -> str:
     """Struct(scheme, netloc, path, params, query, fragment); absent parts are ''."""
 
-    def parts(u: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(u, SCHEME, 1))
-        path = F.regexp_extract(u, PATH, 1)
-        has_params = scheme.isin(*PARAM_SCHEMES) & path.contains(";")
-        return F.struct(
-            scheme.alias("scheme"),
-            F.regexp_extract(u, NETLOC, 1).alias("netloc"),
-            F.when(has_params, F.regexp_extract(path, r"(?s)^((?:.*/)?[^/;]*)(?:;[^/]*)?$", 1))
-            .otherwise(path)
-            .alias("path"),
-            F.when(has_params, F.regexp_extract(path, r"(?s)^(?:.*/)?[^/;]*;([^/]*)$", 1))
-            .otherwise(F.lit(""))
-            .alias("params"),
-            F.regexp_extract(u, QUERY, 1).alias("query"),
-            F.regexp_extract(u, FRAGMENT, 1).alias("fragment"),
-        )
-
-    return let(_clean(url), parts)
+    def parts(u: str) -> str:
+        def params(q: str) -> str:
+            has = f"({q}.scheme IN ({strings(PARAM_SCHEMES)}) AND contains({q}.path, ';'))"
+            before = _part(f"{q}.path", r"(?s)^((?:.*/)?[^/;]*)(?:;[^/]*)?$")
+            after = _part(f"{q}.path", r"(?s)^(?:.*/)?[^/;]*;([^/]*)$")
+            return (
+                f"named_struct('scheme', {q}.scheme, 'netloc', {_part(u, NETLOC)}, "
+                f"'path', if({has}, {before}, {q}.path), 'params', if({has}, {after}, ''), "
+                f"'query', {_part(u, QUERY)}, 'fragment', {_part(u, FRAGMENT)})"
+            )
 
+        base = f"named_struct('scheme', lower({_part(u, SCHEME)}), 'path', {_part(u, PATH)})"
+        return let(base, params)
 
-def _prefixed(mark: str, part: Column) -> Column:
-    return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
+    return let(_clean(url), parts)
 
 
-def join_url(
-    scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column
-) -> Column:
+def join_url(scheme: str, netloc: str, path: str, params: str, query: str, fragment: str) -> str:
     """Assemble URL parts; the inverse of ``split_url`` up to empty delimiters."""
 
-    def with_authority(p: Column) -> Column:
-        rooted = F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    def mark(sign: str, part: str) -> str:
+        return f"if({part} <> '', concat('{sign}', {part}), '')"
+
+    def with_authority(p: str) -> str:
+        rooted = f"if({p} <> '' AND NOT startswith({p}, '/'), concat('/', {p}), {p})"
         bare_root = (
-            (scheme != "") & scheme.isin(*NETLOC_SCHEMES) & ((p == "") | p.startswith("/"))
+            f"({scheme} <> '' AND {scheme} IN ({strings(NETLOC_SCHEMES)}) "
+            f"AND ({p} = '' OR startswith({p}, '/')))"
         )
         return (
-            F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-            .when(p.startswith("//") | bare_root, F.concat(F.lit("//"), p))
-            .otherwise(p)
+            f"CASE WHEN {netloc} <> '' THEN concat('//', {netloc}, {rooted}) "
+            f"WHEN startswith({p}, '//') OR {bare_root} THEN concat('//', {p}) ELSE {p} END"
         )
 
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        let(F.concat(path, _prefixed(";", params)), with_authority),
-        _prefixed("?", query),
-        _prefixed("#", fragment),
+    located = let(f"concat({path}, {mark(';', params)})", with_authority)
+    return (
+        f"concat(if({scheme} <> '', concat({scheme}, ':'), ''), {located}, "
+        f"{mark('?', query)}, {mark('#', fragment)})"
     )
 
 
-def normalize_url(url: Column) -> Column:
+def normalize_url(url: str) -> str:
     """Visit key of a URL: no query, no fragment, no trailing slashes.
 
     The scheme is lower-cased; host case, port, ``www.`` and ``;params`` stay.
     """
-    empty = F.lit("")
-    return let(
-        split_url(url),
-        lambda p: F.regexp_replace(
-            join_url(p["scheme"], p["netloc"], p["path"], p["params"], empty, empty), r"/+$", ""
-        ),
-    )
 
+    def join(p: str) -> str:
+        whole = join_url(f"{p}.scheme", f"{p}.netloc", f"{p}.path", f"{p}.params", "''", "''")
+        return f"rtrim('/', {whole})"
+
+    return let(split_url(url), join)
 
-def _bad_netloc(netloc: Column) -> Column:
+
+def _bad_netloc(netloc: str) -> str:
     """True for unbalanced or meaningless ``[...]`` hosts."""
-    return netloc.rlike(r"[\[\]]") & ~netloc.rlike(
+    fine = text(
         r"^[^\[\]]*\[(?:[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*(?:%[^\[\]]*)?|[vV][0-9A-Fa-f]+\..+)\][^\[\]]*$"
     )
+    return f"(rlike({netloc}, {text(r'[\[\]]')}) AND NOT rlike({netloc}, {fine}))"
 
 
-def _resolve_path(base_path: Column, path: Column) -> Column:
+def _resolve_path(base_path: str, path: str) -> str:
     """Merge a reference path with the base path and remove dot segments."""
-    base_dir = F.regexp_extract(base_path, r"(?s)^(.*/)[^/]*$", 1)
-    merged = F.when(path.startswith("/"), path).otherwise(F.concat(base_dir, path))
+    base_dir = _part(base_path, r"(?s)^(.*/)[^/]*$")
+    rooted = f"startswith({path}, '/')"
+    merged = f"if({rooted}, {path}, concat({base_dir}, {path}))"
 
-    def fold(segments: Column) -> Column:
-        last = F.size(segments) - 1
+    def fold(segments: str) -> str:
+        s, i, stack, t = fresh(), fresh(), fresh(), fresh()
         # Merging with a base drops empty middle segments; a rooted path keeps them.
-        kept = F.filter(
-            segments, lambda s, i: path.startswith("/") | (i == 0) | (i == last) | (s != "")
+        kept = (
+            f"filter({segments}, ({s}, {i}) -> {rooted} OR {i} = 0 "
+            f"OR {i} = size({segments}) - 1 OR {s} <> '')"
         )
-        start = F.array().cast("array<string>")
-
-        def step(stack: Column, s: Column) -> Column:
-            popped = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-            return (
-                F.when(s == "..", popped)
-                .when(s == ".", stack)
-                .otherwise(F.concat(stack, F.array(s)))
-            )
-
-        tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
-            start
+        step = (
+            f"CASE WHEN {t} = '..' THEN slice({stack}, 1, greatest(size({stack}) - 1, 0)) "
+            f"WHEN {t} = '.' THEN {stack} ELSE concat({stack}, array({t})) END"
         )
-        joined = F.array_join(F.concat(F.aggregate(kept, start, step), tail), "/")
-        return F.when(joined == "", "/").otherwise(joined)
+        folded = f"aggregate({kept}, CAST(array() AS array<string>), ({stack}, {t}) -> {step})"
+        tail = (
+            f"if(element_at({segments}, -1) IN ('.', '..'), array(''), "
+            "CAST(array() AS array<string>))"
+        )
+        return let(f"array_join(concat({folded}, {tail}), '/')", lambda j: f"if({j} = '', '/', {j})")
 
-    return let(F.split(merged, "/"), fold)
+    return let(f"split({merged}, '/')", fold)
 
 
-def resolve_url(base: Column, href: Column) -> Column:
+def resolve_url(base: str, href: str) -> str:
     """Absolute URL of ``href`` found on the page ``base``.
 
     RFC 3986 resolution with dot-segment removal. A reference whose host is
     malformed gives NULL, so that only this one link is lost.
     """
 
-    def resolve(p: Column) -> Column:
-        b, r = p["base"], p["ref"]
-        scheme = F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"])
-        foreign = (scheme != b["scheme"]) | ~scheme.isin(*RELATIVE_SCHEMES)
-        rebuilt = lambda netloc, path, params, query: join_url(
-            scheme, netloc, path, params, query, r["fragment"]
-        )
-        has_netloc = (r["netloc"] != "") & scheme.isin(*NETLOC_SCHEMES)
-        same_page = (r["path"] == "") & (r["params"] == "")
-        query = F.when(r["query"] != "", r["query"]).otherwise(b["query"])
+    def resolve(p: str) -> str:
+        b, r, scheme = f"{p}.base", f"{p}.ref", f"{p}.scheme"
+
+        def rebuilt(netloc: str, path: str, params: str, query: str) -> str:
+            return join_url(scheme, netloc, path, params, query, f"{r}.fragment")
+
+        query = f"if({r}.query <> '', {r}.query, {b}.query)"
         return (
-            F.when(_bad_netloc(r["netloc"]) | _bad_netloc(b["netloc"]), F.lit(None).cast("string"))
-            .when(foreign, p["href"])
-            .when(has_netloc, rebuilt(r["netloc"], r["path"], r["params"], r["query"]))
-            .when(same_page, rebuilt(b["netloc"], b["path"], b["params"], query))
-            .otherwise(
-                rebuilt(b["netloc"], _resolve_path(b["path"], r["path"]), r["params"], r["query"])
-            )
+            f"CASE WHEN {_bad_netloc(f'{r}.netloc')} OR {_bad_netloc(f'{b}.netloc')} THEN NULL "
+            f"WHEN {scheme} <> {b}.scheme OR {scheme} NOT IN ({strings(RELATIVE_SCHEMES)}) "
+            f"THEN {p}.href "
+            f"WHEN {r}.netloc <> '' AND {scheme} IN ({strings(NETLOC_SCHEMES)}) "
+            f"THEN {rebuilt(f'{r}.netloc', f'{r}.path', f'{r}.params', f'{r}.query')} "
+            f"WHEN {r}.path = '' AND {r}.params = '' "
+            f"THEN {rebuilt(f'{b}.netloc', f'{b}.path', f'{b}.params', query)} "
+            f"ELSE {rebuilt(f'{b}.netloc', _resolve_path(f'{b}.path', f'{r}.path'), f'{r}.params', f'{r}.query')} END"
         )
 
-    both = F.struct(split_url(base).alias("base"), split_url(href).alias("ref"), href.alias("href"))
-    return F.when(href == "", base).when(base == "", href).otherwise(let(both, resolve))
+    def with_scheme(q: str) -> str:
+        scheme = f"if({q}.ref.scheme <> '', {q}.ref.scheme, {q}.base.scheme)"
+        return let(
+            f"named_struct('base', {q}.base, 'ref', {q}.ref, 'href', {q}.href, 'scheme', {scheme})",
+            resolve,
+        )
+
+    both = f"named_struct('base', {split_url(base)}, 'ref', {split_url(href)}, 'href', {href})"
+    return (
+        f"CASE WHEN {href} = '' THEN {base} WHEN {base} = '' THEN {href} "
+        f"ELSE {let(both, with_scheme)} END"
+    )
 
 
-def is_fetchable(url: Column) -> Column:
+def is_fetchable(url: str) -> str:
     """Only http(s) links can become articles."""
-    return url.rlike(r"^https?:")
+    return f"rlike({url}, '^https?:')"
 
 
-def url_host(url: Column) -> Column:
+def url_host(url: str) -> str:
     """Lower-case host without user info, port and trailing dot."""
-    netloc = F.regexp_extract(_clean(url), NETLOC, 1)
-    bare = F.regexp_replace(F.regexp_replace(netloc, r"^.*@", ""), r":\d*$", "")
-    return F.lower(F.regexp_replace(bare, r"\.$", ""))
+    netloc = _part(_clean(url), NETLOC)
+    bare = f"regexp_replace(regexp_replace({netloc}, '^.*@', ''), {text(r':[0-9]*$')}, '')"
+    return f"lower(rtrim('.', {bare}))"
 
 
-def last_segment(url: Column) -> Column:
-    return F.element_at(F.split(url, "/"), -1)
+def last_segment(url: str) -> str:
+    return f"element_at(split({url}, '/'), -1)"
 
 
-def _is_address(host: Column) -> Column:
-    return host.rlike(r"^[\d.]+$") | host.startswith("[")
+def _is_address(host: str) -> str:
+    return f"(rlike({host}, '^[0-9.]+$') OR startswith({host}, '['))"
 
 
-def _label_tails(host: Column) -> Column:
+def _label_tails(host: str) -> str:
     """All dot-separated tails of a host, longest first."""
+    _, i = fresh(), fresh()
     return let(
-        F.split(host, r"\."),
-        lambda ls: F.transform(
-            ls, lambda _, i: F.array_join(F.slice(ls, i + 1, F.size(ls)), ".")
-        ),
+        f"split({host}, '[.]')",
+        lambda ls: f"transform({ls}, ({_}, {i}) -> array_join(slice({ls}, {i} + 1, size({ls})), '.'))",
     )
 
 
-def registrable_domain(url: Column, suffixes: Sequence[str] = DEFAULT_SUFFIXES) -> Column:
+def registrable_domain(url: str, suffixes: Sequence[str] = DEFAULT_SUFFIXES) -> str:
     """Public suffix plus one label, as an expression over a small rule set.
 
     Hosts without a known suffix (and addresses) are their own site. Rules are
@@ -227,26 +230,27 @@ def registrable_domain(url: Column, suffixes: Sequence[str] = DEFAULT_SUFFIXES)
     """
     if len(suffixes) > 500:
         raise ValueError("pass long rule lists to site_domains as a DataFrame")
-    exceptions = [s[1:] for s in suffixes if s.startswith("!")]
-    wildcards = [s[2:] for s in suffixes if s.startswith("*.")]
-    plain = [s for s in suffixes if s[0] not in "!*"]
-
-    def find(p: Column) -> Column:
-        host, tails = p["host"], p["tails"]
-
-        def suffix_at(tail: Column, i: Column) -> Column:
-            parent = F.regexp_replace(tail, r"^[^.]*\.?", "")
-            return F.when(tail.isin(*exceptions), i + 1).when(
-                tail.isin(*plain) | parent.isin(*wildcards), i
-            )
-
-        first = F.array_min(F.transform(tails, suffix_at))
-        return F.when(first.isNull() | (first < 1) | _is_address(host), host).otherwise(
-            F.element_at(tails, F.greatest(first, F.lit(1)))
+    exceptions = strings([s[1:] for s in suffixes if s.startswith("!")] or [""])
+    wildcards = strings([s[2:] for s in suffixes if s.startswith("*.")] or ["-"])
+    plain = strings([s for s in suffixes if s[0] not in "!*"] or [""])
+
+    def find(p: str) -> str:
+        tail, i = fresh(), fresh()
+        parent = f"regexp_replace({tail}, '^[^.]*[.]?', '')"
+        suffix_at = (
+            f"CASE WHEN {tail} IN ({exceptions}) THEN {i} + 1 "
+            f"WHEN {tail} IN ({plain}) OR {parent} IN ({wildcards}) THEN {i} END"
+        )
+        first = f"array_min(transform({p}.tails, ({tail}, {i}) -> {suffix_at}))"
+        return let(
+            first,
+            lambda f: f"if({f} IS NULL OR {f} < 1 OR {_is_address(f'{p}.host')}, {p}.host, "
+            f"element_at({p}.tails, greatest({f}, 1)))",
         )
 
     return let(
-        url_host(url), lambda h: let(F.struct(h.alias("host"), _label_tails(h).alias("tails")), find)
+        url_host(url),
+        lambda h: let(f"named_struct('host', {h}, 'tails', {_label_tails(h)})", find),
     )
 
 
@@ -257,8 +261,8 @@ def site_domains(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     join input is small next to the URLs; its strategy is left to the optimizer,
     which broadcasts the rules only when their measured size allows it.
     """
-    hosts = urls.select(url_host(F.col(url_col)).alias("host")).distinct()
-    tails = hosts.select("host", F.posexplode(_label_tails(F.col("host"))).alias("i", "tail"))
+    hosts = urls.select(F.expr(url_host(url_col)).alias("host")).distinct()
+    tails = hosts.select("host", F.posexplode(F.expr(_label_tails("host"))).alias("i", "tail"))
     rule = F.col("rule")
     kinds = rules.select(
         F.regexp_replace(rule, r"^(?:!|\*\.)", "").alias("tail"),
@@ -280,5 +284,5 @@ def site_domains(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     cut = F.array_join(F.slice(labels, F.greatest(first, F.lit(1)), F.size(labels)), ".")
     return hosts.join(best, "host", "left").select(
         "host",
-        F.when(first.isNull() | (first < 1) | _is_address(host), host).otherwise(cut).alias("domain"),
+        F.when(first.isNull() | (first < 1) | F.expr(_is_address("host")), host).otherwise(cut).alias("domain"),
     )

@@ -11,7 +11,7 @@ from sitefeed.operators.positions import with_positions
 
 def article_index(articles: DataFrame, mode: str = "v2") -> DataFrame:
     """(site_id, idx, crawl_rank, label): 0-based position in crawl order."""
-    keys = articles.select("site_id", "crawl_rank", list_label(F.col("title"), mode).alias("label"))
+    keys = articles.select("site_id", "crawl_rank", F.expr(list_label("title", mode)).alias("label"))
     return with_positions(keys, ["site_id"], ["crawl_rank"], "idx").select(
         "site_id", "idx", "crawl_rank", "label"
     )

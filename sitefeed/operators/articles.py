@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sitefeed.functions import html
-from sitefeed.functions.exprs import blank_to_null, strip
+from sitefeed.functions.exprs import strip
 from sitefeed.operators.main_content import cut_spans, main_spans
 from sitefeed.sources.pages import OK, html_pages, page_snapshot
 
 Extractor = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def is_short(text: Column) -> Column:
-    return F.length(text) < html.SHORT_TEXT
+def is_short(text: str) -> str:
+    return f"length({text}) < {html.SHORT_TEXT}"
 
 
 def extractor_column(extractor: Extractor) -> Callable[[Column, Column], Column]:
@@ -51,12 +51,12 @@ def extractor_column(extractor: Extractor) -> Callable[[Column, Column], Column]
     return call
 
 
-def fallback_content(page: Column, extracted: Column | None, mode: str = "v2") -> Column:
+def fallback_content(page: str, extracted: str | None = None, mode: str = "v2") -> str:
     """Content of a thin page: the extractor's, else the whole page (v1: its text)."""
     default = page if mode == "v2" else html.html_to_text(page)
     if extracted is None:
         return default
-    return F.coalesce(F.when(strip(extracted) != "", extracted), default)
+    return f"coalesce(if({strip(extracted)} <> '', {extracted}, NULL), {default})"
 
 
 def page_articles(
@@ -67,27 +67,26 @@ def page_articles(
     ``main`` is the main content (NULL: the whole page). All steps but the
     extractor are JVM expressions, and the extractor sees thin pages only.
     """
-    url, page = F.col("url"), F.col("html")
-    found = pages.withColumn("_main", F.coalesce("main", page)).withColumn(
-        "_text", html.html_to_text(F.col("_main"))
+    found = pages.withColumn("_main", F.coalesce("main", "html")).withColumn(
+        "_text", F.expr(html.html_to_text("_main"))
     )
-    short = is_short(F.col("_text"))
+    short = is_short("_text")
     extracted = None
     if extractor is not None:
+        extracted = "_extracted"
+        call = extractor_column(extractor)
         found = found.withColumn(
-            "_extracted",
-            extractor_column(extractor)(F.when(short, url), F.when(short, page)),
+            extracted, call(F.expr(f"if({short}, url, NULL)"), F.expr(f"if({short}, html, NULL)"))
         )
-        extracted = F.col("_extracted")
-    chosen = found.withColumn(
-        "_content", F.when(short, fallback_content(page, extracted, mode)).otherwise(F.col("_main"))
-    )
-    title = html.decorate_title(html.extract_title(page, url, mode), url, mode)
-    text = F.when(short, html.html_to_text(F.col("_content"))).otherwise(F.col("_text"))
+    fallback = fallback_content("html", extracted, mode)
+    title = html.decorate_title(html.extract_title("html", "url", mode), "url", mode)
     return (
-        chosen.withColumn("title", title)
-        .withColumn("content", html.fix_image_urls(F.col("_content"), url, mode))
-        .withColumn("content_text", text)
+        found.withColumn("_content", F.expr(f"if({short}, {fallback}, _main)"))
+        .withColumn("title", F.expr(title))
+        .withColumn("content", F.expr(html.fix_image_urls("_content", "url", mode)))
+        .withColumn(
+            "content_text", F.expr(f"if({short}, {html.html_to_text('_content')}, _text)")
+        )
         .drop("_main", "_text", "_content", "_extracted", "main", "html")
     )
 

@@ -164,7 +164,7 @@ def page_requests(snapshot: DataFrame, seeds: DataFrame) -> DataFrame:
     page id among the rows with that normal form. Seeds are requested as typed
     and fall back to their normal form.
     """
-    key = urls.normalize_url(F.col("url"))
+    key = F.expr(urls.normalize_url("url"))
     rows = snapshot.select(
         "page_id",
         "url",
@@ -205,18 +205,18 @@ def crawl(
     requests = materialize(page_requests(snapshot, seeds), "requests")
     hrefs = page_hrefs(html_pages(snapshot), "page_id")
     answered = requests.where(F.col("status") == OK).select("page_id", F.col("url").alias("src_url"))
-    domain = urls.registrable_domain(F.col("url"), suffixes).alias("scope")
+    domain = F.expr(urls.registrable_domain("url", suffixes)).alias("scope")
     starts = seeds.select("site_id", F.col("seed_url").alias("url")).select(
-        "site_id", "url", urls.normalize_url(F.col("url")).alias("visit_key"), domain
+        "site_id", "url", F.expr(urls.normalize_url("url")).alias("visit_key"), domain
     )
     links = resolve_links(hrefs.join(answered, "page_id")).where(
-        urls.is_fetchable(F.col("dst_url")) & (F.col("dst_url") != F.col("src_url"))
+        F.expr(urls.is_fetchable("dst_url")) & (F.col("dst_url") != F.col("src_url"))
     )
     # A page linking the same target often (menus, footers) keeps its first link.
     edges = (
         links.groupBy(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))
         .agg(F.min("link_pos").alias("pos"))
-        .withColumn("scope", urls.registrable_domain(F.col("dst"), suffixes))
+        .withColumn("scope", F.expr(urls.registrable_domain("dst", suffixes)))
         .join(starts.select("scope").distinct(), "scope", "left_semi")
     )
     return walk(materialize(edges, "edges"), starts, requests, max_pages, max_depth)

@@ -14,7 +14,7 @@ _LAST = 2**62
 
 def feed_items(articles: DataFrame) -> DataFrame:
     """(site_id, crawl_rank, item): the XML of each article."""
-    item = rss_item(F.col("title"), F.col("url"), F.col("content"))
+    item = F.expr(rss_item("title", "url", "content"))
     return articles.select("site_id", "crawl_rank", item.alias("item"))
 
 
@@ -28,7 +28,7 @@ def feed_lines(articles: DataFrame, seeds: DataFrame, order: str = "crawl") -> D
     rank = F.col("crawl_rank").cast("bigint")
     seq = {"crawl": rank, "reverse": -rank}[order]
     heads = seeds.select(
-        "site_id", F.lit(-_LAST).alias("seq"), channel_head(F.col("seed_url")).alias("xml")
+        "site_id", F.lit(-_LAST).alias("seq"), F.expr(channel_head("seed_url")).alias("xml")
     )
     tails = seeds.select("site_id", F.lit(_LAST).alias("seq"), F.lit(TAIL).alias("xml"))
     items = feed_items(articles).select("site_id", seq.alias("seq"), F.col("item").alias("xml"))
@@ -63,7 +63,7 @@ def build_feeds(
             "site_id", "part", F.transform("entries", lambda e: e["item"]).alias("items")
         )
     )
-    head = channel_head(F.col("seed_url"))
+    head = F.expr(channel_head("seed_url"))
     none = F.array().cast("array<string>")
     lines = F.concat(F.array(head), F.coalesce("items", none), F.array(F.lit(TAIL)))
     return seeds.join(bodies, "site_id", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefeed.functions import html, urls
-from sitefeed.functions.exprs import with_computed
+from sitefeed.functions.exprs import let, with_computed
 from sitefeed.functions.urls import DEFAULT_SUFFIXES
 
 
@@ -16,7 +16,7 @@ def page_hrefs(pages: DataFrame, *keys: str) -> DataFrame:
     """(keys, link_pos, href): every anchor of the whole page in document order."""
     # The outer form: a plain explode makes Spark filter on the array's size first,
     # which would extract the links of each page twice.
-    found = F.posexplode_outer(html.hrefs(F.col("html"))).alias("link_pos", "href")
+    found = F.posexplode_outer(F.expr(html.hrefs("html"))).alias("link_pos", "href")
     return pages.select(*keys, found).where(F.col("link_pos").isNotNull())
 
 
@@ -25,7 +25,7 @@ def resolve_links(hrefs: DataFrame) -> DataFrame:
 
     Links with a malformed host are dropped one by one.
     """
-    target = urls.normalize_url(urls.resolve_url(F.col("src_url"), F.col("href")))
+    target = urls.normalize_url(urls.resolve_url("src_url", "href"))
     return with_computed(hrefs, "dst_url", target).where(F.col("dst_url").isNotNull())
 
 
@@ -37,10 +37,11 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def page_images(pages: DataFrame, mode: str = "v2") -> DataFrame:
     """(url, img_pos, src_abs) of every image tag; NULL where it has no address."""
-    found = F.posexplode_outer(html.image_tags(html.strip_opaque(F.col("html"))))
+    found = F.posexplode_outer(F.expr(html.image_tags(html.strip_opaque("html"))))
     tags = pages.select("url", found.alias("img_pos", "tag")).where(F.col("img_pos").isNotNull())
-    source = html.image_source(F.slice(html.attributes(F.col("tag")), 2, 100000), mode)
-    return tags.select("url", "img_pos", urls.resolve_url(F.col("url"), source).alias("src_abs"))
+    source = let(html.attributes("tag"), lambda attrs: html.image_source(attrs, mode))
+    absolute = let(source, lambda src: urls.resolve_url("url", src))
+    return tags.select("url", "img_pos", F.expr(absolute).alias("src_abs"))
 
 
 def in_site_links(
@@ -53,7 +54,7 @@ def in_site_links(
     are split by adaptive execution.
     """
     sites = seeds.select(
-        "site_id", urls.registrable_domain(F.col("seed_url"), suffixes).alias("domain")
+        "site_id", F.expr(urls.registrable_domain("seed_url", suffixes)).alias("domain")
     )
-    domain = urls.registrable_domain(F.col("dst_url"), suffixes)
+    domain = urls.registrable_domain("dst_url", suffixes)
     return with_computed(links, "domain", domain).join(sites, "domain").drop("domain")
