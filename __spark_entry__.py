@@ -17,7 +17,7 @@ from sitefeed.operators.feeds import build_feeds, feed_items
 from sitefeed.operators.links import in_site_links, page_images, page_links
 from sitefeed.operators.main_content import block_table, main_spans, score_blocks
 from sitefeed.operators.positions import with_positions
-from sitefeed.operators.report import crawl_report, site_summary
+from sitefeed.operators.report import content_report, crawl_report, site_summary
 from sitefeed.plans.site_feeds import site_feeds
 from sitefeed.runtime import materialize
 from sitefeed.sources.pages import html_pages, page_snapshot, spread
@@ -60,9 +60,7 @@ def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2") -> DataFrame:
         "html",
         F.expr(BODY).alias("main"),
     )
-    return article_ops.page_articles(pages, mode).select(
-        "site_id", "crawl_rank", "title", "url", "content", "content_text"
-    )
+    return article_ops.page_articles(pages, mode)
 
 
 # Queries --------------------------------------------------------------------
@@ -211,7 +209,11 @@ def extracted_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _articles(spark, sf_dir)
+    return _articles(spark, sf_dir).drop("content_from")
+
+
+def content_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_report(_articles(spark, sf_dir))
 
 
 def page_articles_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +221,7 @@ def page_articles_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(_articles(spark, sf_dir))
+    return exact_dedup.deduplicate(_articles(spark, sf_dir)).drop("content_from")
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +366,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         url_normalize, url_collisions, site_counts, fetch_gate, links, site_links,
         missing_targets, images, fixed_images, page_title, title_cascade, page_text,
         text_fingerprint, short_pages, extracted_short_pages, page_articles,
-        page_articles_v1, unique_articles, duplicate_groups, unique_documents,
+        page_articles_v1, content_sources, unique_articles, duplicate_groups, unique_documents,
         compact_documents, character_bags, near_unique_documents, near_unique_articles,
         link_reach, crawl_visits, visit_report, crawl_limit, articles_by_site, article_list,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
@@ -542,6 +544,9 @@ def oracle_sql() -> dict[str, str]:
         "page_articles_v1": f"WITH {_ART} SELECT page_id AS crawl_rank, {_title_v1('html')} AS title, "
         f"CASE WHEN length(art_text) < 200 THEN {_text(_text('html'))} ELSE art_text END "
         "AS content_text FROM texted",
+        "content_sources": f"WITH {_ART} SELECT site_id, CASE WHEN length(art_text) < 200 THEN 'page' "
+        "ELSE 'main' END AS content_from, count(*) AS n FROM texted JOIN art ON page_id = crawl_rank "
+        "GROUP BY 1, 2",
         "unique_articles": f"WITH {_ART}, {_UNIQUE} SELECT * FROM uniq",
         "duplicate_groups": f"WITH {_ART} SELECT site_id, md5(content_text) AS fingerprint, "
         "count(*) AS n, min(crawl_rank) AS first FROM art GROUP BY 1, 2 HAVING count(*) > 1",

@@ -62,10 +62,12 @@ def fallback_content(page: str, extracted: str | None = None, mode: str = "v2")
 def page_articles(
     pages: DataFrame, mode: str = "v2", extractor: Extractor | None = None
 ) -> DataFrame:
-    """Add title, content and content_text to rows of (url, html, main, ...).
+    """Add title, content, content_text and content_from to rows of (url, html, main, ...).
 
     ``main`` is the main content (NULL: the whole page). All steps but the
     extractor are JVM expressions, and the extractor sees thin pages only.
+    ``content_from`` is ``main``, or for thin pages ``extractor`` or ``page``
+    (no extractor, or it failed or gave nothing).
     """
     found = pages.withColumn("_main", F.coalesce("main", "html")).withColumn(
         "_text", F.expr(html.html_to_text("_main"))
@@ -79,10 +81,13 @@ def page_articles(
             extracted, call(F.expr(f"if({short}, url, NULL)"), F.expr(f"if({short}, html, NULL)"))
         )
     fallback = fallback_content("html", extracted, mode)
+    answered = f"{strip(extracted)} <> ''" if extracted else "false"
+    origin = f"CASE WHEN NOT {short} THEN 'main' WHEN {answered} THEN 'extractor' ELSE 'page' END"
     title = html.decorate_title(html.extract_title("html", "url", mode), "url", mode)
     return (
         found.withColumn("_content", F.expr(f"if({short}, {fallback}, _main)"))
         .withColumn("title", F.expr(title))
+        .withColumn("content_from", F.expr(origin))
         .withColumn("content", F.expr(html.fix_image_urls("_content", "url", mode)))
         .withColumn(
             "content_text", F.expr(f"if({short}, {html.html_to_text('_content')}, _text)")
@@ -97,7 +102,7 @@ def extract_articles(
     mode: str = "v2",
     extractor: Extractor | None = None,
 ) -> DataFrame:
-    """(site_id, crawl_rank, depth, title, url, content, content_text) of a crawl.
+    """Articles of a crawl, with site_id, crawl_rank and depth.
 
     ``visits`` is the output of ``crawl``. Block scoring runs map-first over the
     snapshot and yields small rows; bodies meet the (narrow) visits in one join.
@@ -111,5 +116,5 @@ def extract_articles(
         "main", cut_spans(F.col("html"), F.col("spans"))
     )
     return page_articles(bodies, mode, extractor).select(
-        "site_id", "crawl_rank", "depth", "title", "url", "content", "content_text"
+        "site_id", "crawl_rank", "depth", "title", "url", "content", "content_text", "content_from"
     )

@@ -54,8 +54,12 @@ IMPLIED_END = {
     "th": {"td", "th", "tr"},
     "tr": {"tr"},
 }
+ROOTS = frozenset({"html", "body"})
 SCOPES = frozenset("ul ol dl table td th div article section body".split())
 
+# Block rows handed back to the JVM at a time.
+ROWS_PER_BATCH = 50_000
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)"
     r"|<template\b.*?(?:</template\s*>|\Z)"
@@ -123,6 +127,12 @@ def page_blocks(page: str) -> list[list]:
             row[7] += len(piece) if in_link else 0
             row[9] = row[9] or bool(_SENTENCE_END.search(piece))
 
+    def begin(tag: str, attrs: str, start: int) -> None:
+        parent = open_blocks[-1] if open_blocks else None
+        block = _Block(len(rows), tag, attrs, parent, start)
+        rows.append(block.row)
+        open_blocks.append(block)
+
     def close_down_to(depth: int, end: int) -> None:
         while len(open_blocks) > depth:
             open_blocks.pop().close(end)
@@ -149,10 +159,10 @@ def page_blocks(page: str) -> list[list]:
                 break
             if tag in SCOPES:
                 break
-        parent = open_blocks[-1] if open_blocks else None
-        block = _Block(len(rows), name, token["attrs"], parent, token.start())
-        rows.append(block.row)
-        open_blocks.append(block)
+        if not open_blocks and name not in ROOTS:
+            # Fragments without html and body tags still have a body.
+            begin("body", "", token.start())
+        begin(name, token["attrs"], token.start())
     text(len(page))
     close_down_to(0, len(page))
     return rows
@@ -176,17 +186,24 @@ def block_table(pages: DataFrame, key: str = "page_id") -> DataFrame:
         for batch in batches:
             owners: list[int] = []
             rows: list[list] = []
-            for i, page in enumerate(batch.column(1).to_pylist()):
+
+            def table() -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(owners, pa.int32()))]  # noqa: B023
+                values = zip(*rows) if rows else [[] for _ in BLOCK_FIELDS]  # noqa: B023
+                columns += [pa.array(v, t) for v, t in zip(values, BLOCK_FIELDS.values())]
+                return pa.RecordBatch.from_arrays(columns, names=[key, *BLOCK_FIELDS])
+
+            for i, page in enumerate(batch.column(1)):
                 try:
-                    found = page_blocks(page or "")
+                    found = page_blocks(page.as_py() or "")
                 except (ValueError, RecursionError):
                     found = []
                 owners.extend([i] * len(found))
                 rows.extend(found)
-            columns = [batch.column(0).take(pa.array(owners, pa.int32()))]
-            values = zip(*rows) if rows else [[] for _ in BLOCK_FIELDS]
-            columns += [pa.array(v, t) for v, t in zip(values, BLOCK_FIELDS.values())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *BLOCK_FIELDS])
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield table()
+                    owners, rows = [], []
+            yield table()
 
     return pages.select(key, "html").mapInArrow(blocks, schema)
 

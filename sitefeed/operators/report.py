@@ -14,6 +14,11 @@ def crawl_report(visits: DataFrame) -> DataFrame:
     return visits.groupBy("site_id", "depth", "status").agg(F.count("*").alias("n"))
 
 
+def content_report(articles: DataFrame) -> DataFrame:
+    """(site_id, content_from, n): how often thin pages needed a fallback, and which."""
+    return articles.groupBy("site_id", "content_from").agg(F.count("*").alias("n"))
+
+
 def site_summary(
     visits: DataFrame, unique_articles: DataFrame, max_pages: int = MAX_PAGES
 ) -> DataFrame:

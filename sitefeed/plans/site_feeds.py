@@ -11,7 +11,7 @@ from sitefeed.operators.crawl import MAX_PAGES, crawl
 from sitefeed.operators.exact_dedup import deduplicate
 from sitefeed.operators.feeds import feed_lines
 from sitefeed.operators.near_dedup import deduplicate_similar
-from sitefeed.operators.report import crawl_report, site_summary
+from sitefeed.operators.report import content_report, crawl_report, site_summary
 from sitefeed.runtime import materialize
 
 
@@ -23,6 +23,7 @@ class SiteFeeds:
     articles: DataFrame
     feed: DataFrame
     report: DataFrame
+    contents: DataFrame
     summary: DataFrame
 
 
@@ -46,5 +47,6 @@ def site_feeds(
         articles=unique,
         feed=feed_lines(unique, seeds),
         report=crawl_report(visits),
+        contents=content_report(found),
         summary=site_summary(visits, unique, max_pages or MAX_PAGES),
     )

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
@@ -37,4 +41,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _stored[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` once nothing lazy refers to them."""
+    for table in tables:
+        path = _stored.pop(table, None)
+        if path:
+            context = table.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -44,7 +44,12 @@ def test_extractor_sees_thin_pages_only(spark):
         for n in names
     ]
     pages = spark.createDataFrame(rows, "url string, html string, main string").coalesce(1)
-    found = {r.url.rsplit("/")[-1]: r.content for r in page_articles(pages, "v2", extract).collect()}
+    rows = page_articles(pages, "v2", extract).collect()
+    sources = {r.url.rsplit("/")[-1]: r.content_from for r in rows}
+    assert sources == {
+        "text": "extractor", "blank": "page", "null": "page", "error": "page", "long": "main",
+    }
+    found = {r.url.rsplit("/")[-1]: r.content for r in rows}
     assert found == {
         "text": "<p>got</p>",
         "blank": body(20),
@@ -91,11 +96,11 @@ def test_blocks_nest_and_end_by_rule(spark):
     pages = spark.createDataFrame([(1, page)], "page_id int, html string")
     rows = block_table(pages).orderBy("block_id").collect()
     assert [(r.tag, r.parent_id, r.text_len) for r in rows] == [
-        ("ul", -1, 7), ("li", 0, 1), ("li", 0, 6), ("p", 2, 1), ("div", 2, 4),
-        ("p", -1, 1), ("p", -1, 3), ("table", -1, 2), ("tr", 7, 2), ("td", 8, 1), ("td", 8, 1),
+        ("body", -1, 13), ("ul", 0, 7), ("li", 1, 1), ("li", 1, 6), ("p", 3, 1), ("div", 3, 4),
+        ("p", 0, 1), ("p", 0, 3), ("table", 0, 2), ("tr", 8, 2), ("td", 9, 1), ("td", 9, 1),
     ]
     assert [r.link_len for r in rows if r.tag == "p"] == [0, 0, 2]
-    assert page[rows[6].start : rows[6].start + rows[6].length] == "<p>y <a>zz</a></p>"
+    assert page[rows[7].start : rows[7].start + rows[7].length] == "<p>y <a>zz</a></p>"
 
 
 def test_articles_of_a_crawl(spark):

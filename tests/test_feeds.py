@@ -80,9 +80,9 @@ def test_whole_job_from_files(spark, tmp_path):
     site = tmp_path / "site"
     (site / "sub").mkdir(parents=True)
     text = "Plenty of words, to make it long, in this one paragraph of the page. " * 4
-    (site / "index.html").write_text(f"<h1>Index</h1><a href=sub/a.html>a</a><a href=b.html>b</a><p>{text}")
-    (site / "sub" / "a.html").write_text(f"<h1>A</h1><p>{text} And a little more.")
-    (site / "b.html").write_text(f"<h1>B</h1><p>{text}")
+    (site / "index.html").write_text(f"<h1>Index</h1><a href=sub/a.html>a</a><a href=b.html>b</a><div><p>{text}</p></div>")
+    (site / "sub" / "a.html").write_text(f"<h1>A</h1><div><p>{text} And a little more.</p></div>")
+    (site / "b.html").write_text(f"<h1>B</h1><div><p>{text}</p></div>")
     pages = read_page_files(spark, str(site), "http://s.com")
     assert pages.count() == 3
     stored = str(tmp_path / "pages.json")
@@ -99,3 +99,4 @@ def test_whole_job_from_files(spark, tmp_path):
         assert len(items(document)[1]) == left
         summary = job.summary.collect()[0]
         assert (summary.n_articles, summary.n_unique) == (3, left)
+        assert [(r.content_from, r.n) for r in job.contents.collect()] == [("main", 3)]
