@@ -12,7 +12,7 @@ from sitefeed.functions import urls
 from sitefeed.functions.urls import DEFAULT_SUFFIXES
 from sitefeed.operators.links import page_hrefs, resolve_links
 from sitefeed.operators.positions import with_positions
-from sitefeed.runtime import materialize
+from sitefeed.runtime import discard, materialize
 from sitefeed.sources.pages import MISSING, OK, fetch_status, html_pages, page_snapshot
 
 MAX_PAGES = 500
@@ -62,7 +62,13 @@ def walk(
         *scoped,
         *extra,
     )
-    level = materialize(start, "walk")
+    made: list[DataFrame] = []
+
+    def kept(table: DataFrame) -> DataFrame:
+        made.append(materialize(table, "walk"))
+        return made[-1]
+
+    level = kept(start)
     done: list[DataFrame] = []
     depth = 0
     while True:
@@ -74,7 +80,7 @@ def walk(
         peak, fresh = totals.agg(F.max("n_ok"), F.sum("n_new")).first()
         full = max_ok is not None and peak is not None and peak >= max_ok
         if full:
-            level = materialize(_cut(level, totals, max_ok), "walk")
+            level = kept(_cut(level, totals, max_ok))
         done.append(level)
         if not fresh or (max_depth is not None and depth >= max_depth):
             break
@@ -83,16 +89,17 @@ def walk(
             finished = totals.where(F.col("n_ok") >= max_ok)
             frontier = frontier.join(finished, "site_id", "left_anti")
         if len(done) % _COMPACT_EVERY == 0:
-            done = [materialize(_union(done), "walk")]
+            done = [kept(_union(done))]
         depth += 1
-        level = materialize(
-            _next_level(frontier, edges, _union(done), [*scoped, *extra], scoped, depth), "walk"
+        level = kept(
+            _next_level(frontier, edges, _union(done), [*scoped, *extra], scoped, depth)
         )
-    edges.unpersist()
     visits = _union(done).select("site_id", "url", "depth", "queue_key", "status", *extra)
-    return with_positions(visits, ["site_id"], ["depth", "queue_key"], "crawl_rank").select(
-        "site_id", "url", "depth", "crawl_rank", "status", *extra
-    )
+    ranked = with_positions(visits, ["site_id"], ["depth", "queue_key"], "crawl_rank")
+    # The positions were written, so the levels are no longer needed.
+    edges.unpersist()
+    discard(*made)
+    return ranked.select("site_id", "url", "depth", "crawl_rank", "status", *extra)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -219,4 +226,7 @@ def crawl(
         .withColumn("scope", F.expr(urls.registrable_domain("dst", suffixes)))
         .join(starts.select("scope").distinct(), "scope", "left_semi")
     )
-    return walk(materialize(edges, "edges"), starts, requests, max_pages, max_depth)
+    edges = materialize(edges, "edges")
+    visits = walk(edges, starts, requests, max_pages, max_depth)
+    discard(edges, requests)
+    return visits
