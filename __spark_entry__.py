@@ -23,7 +23,8 @@ from sitefeed.runtime import materialize
 from sitefeed.sources.pages import html_pages, page_snapshot, spread
 
 BODY = "regexp_extract(html, '(?s)<article>.*?</article>', 0)"
-LINK_DEPTH = 12
+# Recursion in SQL does not end on cycles by itself; walks end far earlier.
+SQL_DEPTH = 60
 
 
 # Inputs ---------------------------------------------------------------------
@@ -282,10 +283,10 @@ def _label_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def link_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first depth of everything within LINK_DEPTH steps of page 0."""
+    """Breadth-first depth of everything that page 0 leads to."""
     edges, nodes = _label_graph(spark, sf_dir)
     start = spark.sql("SELECT 's' site_id, 'page 0' url, 'page 0' visit_key")
-    return walk(edges, start, nodes, max_depth=LINK_DEPTH).select("url", "depth")
+    return walk(edges, start, nodes).select("url", "depth")
 
 
 def crawl_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -560,7 +561,7 @@ def oracle_sql() -> dict[str, str]:
         "link_reach": f"WITH RECURSIVE {_HREFS}, hops AS (SELECT 'page ' || page_id AS src, "
         "'label ' || href AS dst FROM links_raw UNION SELECT 'label ' || href, 'page ' || page_id "
         "FROM links_raw), reach(url, depth) AS (SELECT 'page 0', 0 UNION SELECT h.dst, r.depth + 1 "
-        f"FROM reach r JOIN hops h ON h.src = r.url WHERE r.depth < {LINK_DEPTH}) "
+        f"FROM reach r JOIN hops h ON h.src = r.url WHERE r.depth < {SQL_DEPTH}) "
         "SELECT url, min(depth) AS depth FROM reach GROUP BY 1",
         "crawl_visits": f"WITH {_VISITS} SELECT site_id, url, depth, crawl_rank, status FROM visits",
         "visit_report": f"WITH {_VISITS} SELECT site_id, depth, status, count(*) AS n FROM visits "

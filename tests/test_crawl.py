@@ -89,6 +89,12 @@ def test_small_site(spark, limit):
         assert sum(r.n_duplicates for r in total.values()) == 7 - 4
 
 
+def test_depth_limit(spark):
+    snapshot, seeds = tables(spark, SMALL, {"x": "http://s.com/?start=1"})
+    expected = [v for v in fifo(SMALL, "http://s.com/?start=1", None) if v[1] <= 1]
+    assert walked(crawl(snapshot, seeds, None, max_depth=1)) == {"x": expected}
+
+
 def test_random_graphs(spark):
     rnd = random.Random(3)
     pages, seeds, expected = {}, {}, {}
