@@ -22,6 +22,15 @@ from sitefeed.plans.site_feeds import site_feeds
 from sitefeed.runtime import materialize
 from sitefeed.sources.pages import html_pages, page_snapshot, spread
 
+try:
+    import corpus_pipeline
+    from sitefeed.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    # Both are optional, together; anything else that is missing is an error.
+    if missing.name not in ("corpus_pipeline", "sitefeed.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 BODY = "regexp_extract(html, '(?s)<article>.*?</article>', 0)"
 # Recursion in SQL does not end on cycles by itself; walks end far earlier.
 SQL_DEPTH = 60
@@ -373,7 +382,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
         site_articles,
     )
-    return {q.__name__: q for q in every}
+    found = {q.__name__: q for q in every}
+    if corpus_queries:
+        found |= corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 # SQL equivalents ------------------------------------------------------------
@@ -509,7 +521,7 @@ def oracle_sql() -> dict[str, str]:
         "'<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" src=\"' || "
         f"{_ROOT.format('url')} || '/img/pic.png?w=1\" style=\"max-width:100%;height:auto;\"/>'"
     )
-    return {
+    found = {
         "url_normalize": f"SELECT page_id, {norm} AS url_norm FROM pages",
         "url_collisions": f"SELECT {norm} AS url_norm, count(*) AS n, min(page_id) AS first_page "
         "FROM pages GROUP BY 1 HAVING count(*) > 1",
@@ -587,3 +599,8 @@ def oracle_sql() -> dict[str, str]:
         "'(?i)<(html|body|article|footer|nav|div|p|ul|li|h1)(?:>|\\s)', 1)) AS tag FROM pages) "
         "GROUP BY 1, 2",
     }
+    if corpus_queries:
+        found |= corpus_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
