@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitefeed.llm import byte_cnn, decontamination, ngram_jaccard, secret_scan
+from sitefeed.llm import byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup
 from sitefeed.llm.common import table
 
 
@@ -14,6 +15,20 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: Share of the tokens that each language is to have after mixing.
+LANGUAGE_SHARES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def language_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents with their language as the domain; other languages are to be predicted."""
+    return documents.join(labels.select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.rates(documents, language_labels(documents, labels), LANGUAGE_SHARES)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contamination(documents, items)
@@ -23,12 +38,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard, op6_decontamination, op7_secret_scan, op10_byte_cnn)
+    every = (
+        op1_ngram_jaccard, op3_source_mixing, op6_decontamination, op7_secret_scan,
+        op8_substring_dedup, op10_byte_cnn,
+    )
     return {q.__name__: q for q in every}
 
 
