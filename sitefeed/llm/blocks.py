@@ -25,7 +25,7 @@ from sitefeed.llm.words import U
 #: Rows per block, and about how many blocks' keys make a bucket.
 BLOCK_ROWS, BLOCKS_PER_BUCKET, LEAST_BUCKETS = 1024, 2, 64
 
-Question = "bucket int, block int, part int, packed binary"
+QUESTION = "bucket int, block int, part int, packed binary"
 
 
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
@@ -42,11 +42,11 @@ def unpack(packed: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(found[0], dtype=np.uint64), *found[1:]]
 
 
-def in_blocks(documents: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+def in_blocks(documents: DataFrame, *by: str) -> tuple[DataFrame, int]:
     """The documents with their block number, and the number of buckets for their keys."""
     n = max(1, -(-documents.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n)).cast("int")
-    return documents.select(block.alias("block"), *columns), max(LEAST_BUCKETS, n // BLOCKS_PER_BUCKET)
+    block = F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(n)).cast("int")
+    return documents.withColumn("block", block), max(LEAST_BUCKETS, n // BLOCKS_PER_BUCKET)
 
 
 def questions(block: int, part: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
@@ -65,31 +65,36 @@ def questions(block: int, part: int, buckets: int, keys: np.ndarray, *values: np
     )
 
 
+def gathered(table: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+    """Keys and values of a bucket, ascending by key, the row of each, and rows' sizes."""
+    rows = [unpack(p.as_py(), columns) for p in table["packed"]]
+    sizes = [len(r[0]) for r in rows]
+    merged = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    order = np.argsort(merged[0], kind="stable")
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    return [c[order] for c in merged], owner[order], sizes
+
+
 def answer(asked: DataFrame, columns: int, reply: Callable) -> DataFrame:
-    """Answers per bucket and part.
+    """Answers per bucket: those keys that ``reply`` selects go back to the blocks that asked.
 
-    ``reply`` gets all blocks' keys and values of a bucket, ascending by key, with
-    the number of the block's row of each, and returns a mask and the values to
-    send back; masked keys go back to the blocks that asked about them.
+    ``reply`` gets the keys and values of all blocks, ascending by key, and
+    returns a mask and the values to send back with the keys.
     """
 
     def work(table: pa.Table) -> pa.Table:
-        rows = [unpack(p.as_py(), columns) for p in table["packed"]]
-        sizes = [len(r[0]) for r in rows]
-        merged = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        order = np.argsort(merged[0], kind="stable")
-        keep, values = reply([c[order] for c in merged], owner[order])
-        owner = owner[order][keep]
-        key, values = merged[0][order][keep], [v[keep] for v in values]
+        merged, owner, sizes = gathered(table, columns)
+        keep, values = reply(merged)
+        owner, key, values = owner[keep], merged[0][keep], [v[keep] for v in values]
         by_row = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[by_row], np.arange(len(rows) + 1))
+        cuts = np.searchsorted(owner[by_row], np.arange(len(sizes) + 1))
         full = np.flatnonzero(np.diff(cuts))
         chosen = [by_row[cuts[r] : cuts[r + 1]] for r in full]
         packed = [pack(key[c], *[v[c] for v in values]) for c in chosen]
-        return pa.table({**{n: table[n].take(full) for n in ("bucket", "block", "part")}, "packed": pa.array(packed, pa.binary())})
+        named = {n: table[n].take(full) for n in ("bucket", "block", "part")}
+        return pa.table({**named, "packed": pa.array(packed, pa.binary())})
 
-    return asked.groupBy("bucket", "part").applyInArrow(work, Question)
+    return asked.groupBy("bucket", "part").applyInArrow(work, QUESTION)
 
 
 def received(table: pa.Table, part: int, columns: int) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefeed.llm import byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup
+from sitefeed.llm import backoff_lm, byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup
 from sitefeed.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents, language_labels(documents, labels), LANGUAGE_SHARES)
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contamination(documents, items)
@@ -49,7 +53,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_ngram_jaccard, op3_source_mixing, op6_decontamination, op7_secret_scan,
+        op1_ngram_jaccard, op3_source_mixing, op4_backoff_lm, op6_decontamination, op7_secret_scan,
         op8_substring_dedup, op10_byte_cnn,
     )
     return {q.__name__: q for q in every}

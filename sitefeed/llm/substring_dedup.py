@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitefeed.llm.blocks import answer, heads, in_blocks, look_up, questions, received, spread
+from sitefeed.llm.blocks import QUESTION, answer, heads, in_blocks, look_up, questions, received, spread
 from sitefeed.llm.common import per_batch
 from sitefeed.llm.words import U, slices, split, window_hashes, windows_within, word_hashes
 
@@ -77,7 +77,7 @@ def ask_anchors(table: pa.Table, block: int, buckets: int) -> pa.Table:
     return questions(block, 0, buckets, probe[first], marks + several * U(2))
 
 
-def reply_anchors(columns: list[np.ndarray], _: np.ndarray):
+def reply_anchors(columns: list[np.ndarray]):
     """Probes that are on some document's grid and occur in two documents."""
     probe, marks = columns
     first = heads(probe)
@@ -113,7 +113,7 @@ def ask_windows(table: pa.Table, answers: pa.Table, block: int, buckets: int) ->
     return questions(block, 1, buckets, key[first], marked, low.view(np.uint64) ^ _SIGN)
 
 
-def reply_windows(columns: list[np.ndarray], _: np.ndarray):
+def reply_windows(columns: list[np.ndarray]):
     """Least doc_id of every window that some document of the asking block has a smaller one for."""
     key, marked, low = columns
     second = marked >> U(1)
@@ -176,7 +176,7 @@ def _unchanged(batch: pa.RecordBatch):
 def dedup_substrings(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by blanks)."""
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    blocks, buckets = in_blocks(rows.where("doc_id IS NOT NULL"), "doc_id", "text")
+    blocks, buckets = in_blocks(rows.where("doc_id IS NOT NULL"), "doc_id")
     dealt = blocks.groupBy("block")
 
     def first(table: pa.Table) -> pa.Table:
@@ -185,9 +185,8 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
         return ask_windows(table, answers, table["block"][0].as_py(), buckets) if len(table) else answers
 
-    kinds = "bucket int, block int, part int, packed binary"
-    anchors = answer(dealt.applyInArrow(first, kinds), 2, reply_anchors)
-    asked = dealt.cogroup(anchors.groupBy("block")).applyInArrow(second, kinds)
+    anchors = answer(dealt.applyInArrow(first, QUESTION), 2, reply_anchors)
+    asked = dealt.cogroup(anchors.groupBy("block")).applyInArrow(second, QUESTION)
     repeats = answer(asked, 3, reply_windows)
     named = dealt.cogroup(repeats.groupBy("block")).applyInArrow(remove, RESULT)
     return named.unionByName(per_batch(rows.where("doc_id IS NULL"), RESULT, _unchanged, "text"))
