@@ -52,9 +52,9 @@ def window_terms(windows: DataFrame) -> DataFrame:
 def build_index(documents: DataFrame, windows: DataFrame) -> DataFrame:
     """Postings (text key, position, word) of every word that a window uses."""
     vocabulary = materialize(window_terms(windows).select("term").distinct().coalesce(1), "vocabulary")
-    tokens = documents.where(F.col("text").isNotNull()).select(
-        F.md5("text").alias("key"), F.posexplode(words_of("text")).alias("pos", "term")
-    )
+    # The key is made before words are dealt out as rows, not once for each of them.
+    texts = documents.where(F.col("text").isNotNull()).select(F.md5("text").alias("key"), words_of("text").alias("words"))
+    tokens = texts.select("key", F.posexplode("words").alias("pos", "term"))
     return materialize(tokens.join(vocabulary, "term"), "postings")
 
 
