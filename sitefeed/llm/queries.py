@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefeed.llm import backoff_lm, byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup
+from sitefeed.llm import backoff_lm, byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity
 from sitefeed.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Share of the tokens that each language is to have after mixing.
 LANGUAGE_SHARES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
@@ -53,7 +57,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_ngram_jaccard, op3_source_mixing, op4_backoff_lm, op6_decontamination, op7_secret_scan,
+        op1_ngram_jaccard, op2_toxicity, op3_source_mixing, op4_backoff_lm, op6_decontamination, op7_secret_scan,
         op8_substring_dedup, op10_byte_cnn,
     )
     return {q.__name__: q for q in every}
