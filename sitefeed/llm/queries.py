@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefeed.llm import backoff_lm, byte_cnn, decontamination, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity
+from sitefeed.llm import (
+    backoff_lm,
+    byte_cnn,
+    decontamination,
+    embedding_dedup,
+    license_scan,
+    mixing,
+    ngram_jaccard,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
 from sitefeed.llm.common import table
 
 
@@ -37,6 +48,10 @@ def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contamination(documents, items)
@@ -51,17 +66,25 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_ngram_jaccard, op2_toxicity, op3_source_mixing, op4_backoff_lm, op6_decontamination, op7_secret_scan,
-        op8_substring_dedup, op10_byte_cnn,
+        op1_ngram_jaccard, op2_toxicity, op3_source_mixing, op4_backoff_lm, op5_embedding_dedup,
+        op6_decontamination, op7_secret_scan, op8_substring_dedup, op9_license_scan, op10_byte_cnn,
     )
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_jaccard.SQL, "op6_decontamination": decontamination.SQL}
+    return {
+        "op1_ngram_jaccard": ngram_jaccard.SQL,
+        "op5_embedding_dedup": embedding_dedup.SQL,
+        "op6_decontamination": decontamination.SQL,
+    }
