@@ -13,14 +13,14 @@ from sitefeed.operators import articles as article_ops
 from sitefeed.operators import exact_dedup, near_dedup
 from sitefeed.operators.article_list import article_index, select_article
 from sitefeed.operators.crawl import MAX_PAGES, crawl, walk
-from sitefeed.operators.feeds import build_feeds, feed_items
+from sitefeed.operators.feeds import feed_items, feed_lines
 from sitefeed.operators.links import in_site_links, page_images, page_links
 from sitefeed.operators.main_content import block_table, main_spans, score_blocks
 from sitefeed.operators.positions import with_positions
 from sitefeed.operators.report import content_report, crawl_report, site_summary
 from sitefeed.plans.site_feeds import site_feeds
 from sitefeed.runtime import materialize
-from sitefeed.sources.pages import html_pages, page_snapshot, spread
+from sitefeed.sources.pages import html_pages, one_per_page, page_snapshot, spread
 
 try:
     import corpus_pipeline
@@ -61,9 +61,9 @@ def _domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2") -> DataFrame:
+def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2", pages: DataFrame | None = None) -> DataFrame:
     """Articles of all pages, content = the article element, in page order per domain."""
-    pages = _pages(spark, sf_dir).select(
+    pages = (_pages(spark, sf_dir) if pages is None else pages).select(
         F.expr(urls.registrable_domain("url")).alias("site_id"),
         F.col("page_id").alias("crawl_rank"),
         "url",
@@ -231,7 +231,8 @@ def page_articles_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(_articles(spark, sf_dir)).drop("content_from")
+    found = materialize(_articles(spark, sf_dir), "articles")
+    return exact_dedup.deduplicate(found).drop("content_from")
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +246,46 @@ def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unique_documents_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup where every third document has no language: a group like any other."""
+    lang = F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang")
+    documents = _documents(spark, sf_dir).select("doc_id", "source", lang, "text")
+    return exact_dedup.deduplicate(documents, ["source", "lang"], "doc_id", "text").select(
+        "doc_id", "source", "lang", F.length("text").alias("n_chars")
+    )
+
+
+def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl asks for when every page was fetched twice, first without success."""
+    pages = _pages(spark, sf_dir)
+    twice = pages.withColumn("status", F.lit(500)).unionByName(pages.withColumn("status", F.lit(200)))
+    snapshot = one_per_page(page_snapshot(twice))
+    return snapshot.select("page_id", "url", "status", F.length("html").alias("n_chars"))
+
+
+def site_counts_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per registrable domain, by a table of suffix rules made from the hosts' own endings."""
+    pages = _pages(spark, sf_dir)
+    ending = F.regexp_extract(F.expr(urls.url_host("url")), r"([^.]+)$", 1)
+    rules = pages.select(ending.alias("rule")).distinct()
+    placed = urls.with_domain(pages, "url", "domain", rules)
+    return placed.groupBy("domain").agg(
+        F.count("*").alias("n_pages"), F.countDistinct(F.expr(urls.url_host("url"))).alias("n_hosts")
+    )
+
+
+def image_in_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both image repairs on pages that also name the image inside a script and a comment."""
+    quoted = """<script>var s = "<img src='p.png'>";</script><!-- <img src="q.png"> -->"""
+    html_col = F.concat(F.lit(quoted), F.expr(BODY))
+    pages = _image_pages(spark, sf_dir).select("page_id", "url", html_col.alias("html"))
+    return pages.select(
+        "page_id",
+        F.expr(html.fix_image_urls("html", "url")).alias("content"),
+        F.expr(html.fix_image_urls("html", "url", "v1")).alias("content_v1"),
+    )
+
+
 def compact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select(
         "doc_id", near_dedup.compact_text(F.col("text")).alias("compact")
@@ -330,7 +371,10 @@ def article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialize(_articles(spark, sf_dir), "articles")
+    """The eighth article of one domain; other domains are left before anything is parsed."""
+    site = F.expr(urls.registrable_domain("url")) == "example.com"
+    own = _articles(spark, sf_dir, pages=_pages(spark, sf_dir).where(site))
+    found = materialize(own, "articles")
     return select_article(found, article_index(found), "example.com", 7)
 
 
@@ -339,8 +383,9 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rss_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per domain, as lines: in seq order they are the feed."""
     found = materialize(exact_dedup.deduplicate(_articles(spark, sf_dir)), "articles")
-    return build_feeds(found, _domain_seeds(spark, sf_dir))
+    return feed_lines(found, _domain_seeds(spark, sf_dir))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +424,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         page_articles_v1, content_sources, unique_articles, duplicate_groups, unique_documents,
         compact_documents, character_bags, near_unique_documents, near_unique_articles,
         link_reach, crawl_visits, visit_report, crawl_limit, articles_by_site, article_list,
+        unique_documents_null_group, repeated_pages, site_counts_by_rules, image_in_script,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
         site_articles,
     )
@@ -516,6 +562,7 @@ def oracle_sql() -> dict[str, str]:
     cascade = " UNION ALL ".join(
         f"SELECT page_id, url, '{k}' AS variant, {v} AS html FROM pages" for k, v in variants.items()
     )
+    quoted = """'<script>var s = "<img src=''p.png''>";</script><!-- <img src="q.png"> -->'"""
     image_pages = f"SELECT page_id, url, replace(html, '</p>', '{_IMG}') AS html FROM pages"
     fixed = (
         "'<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" src=\"' || "
@@ -589,11 +636,20 @@ def oracle_sql() -> dict[str, str]:
         "article_lookup": f"WITH {_ART} SELECT content FROM (SELECT *, row_number() OVER (PARTITION BY "
         "site_id ORDER BY crawl_rank) - 1 AS idx FROM art) WHERE site_id = 'example.com' AND idx = 7",
         "rss_items": f"WITH {_ART} SELECT site_id, crawl_rank, {_ITEM} AS item FROM art",
-        "rss_feeds": f"WITH {_ART}, {_UNIQUE}, {_SEEDS}, placed AS (SELECT site_id, crawl_rank, "
-        f"{_ITEM} AS item, (row_number() OVER (PARTITION BY site_id ORDER BY crawl_rank) - 1) // 500 "
-        f"AS part FROM uniq) SELECT site_id, CAST(part AS INTEGER) AS part, {_HEAD_SQL} || chr(10) || "
-        "string_agg(item, chr(10) ORDER BY crawl_rank) || chr(10) || '</channel>' || chr(10) || "
-        "'</rss>' AS feed_xml FROM placed JOIN seeds USING (site_id) GROUP BY site_id, part, seed_url",
+        "rss_feeds": f"WITH {_ART}, {_UNIQUE}, {_SEEDS} SELECT site_id, CAST(-4611686018427387904 AS BIGINT) "
+        f"AS seq, {_HEAD_SQL} AS xml FROM seeds UNION ALL SELECT site_id, CAST(crawl_rank AS BIGINT), {_ITEM} "
+        "FROM uniq UNION ALL SELECT site_id, CAST(4611686018427387904 AS BIGINT), "
+        "'</channel>' || chr(10) || '</rss>' FROM seeds",
+        "unique_documents_null_group": "SELECT doc_id, source, lang, length(text) AS n_chars FROM (SELECT doc_id, "
+        "source, text, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM documents) "
+        "QUALIFY row_number() OVER (PARTITION BY source, lang, md5(text) ORDER BY doc_id) = 1",
+        "repeated_pages": "SELECT page_id, url, CAST(200 AS INTEGER) AS status, length(html) AS n_chars FROM pages",
+        "site_counts_by_rules": f"SELECT {domain} AS domain, count(*) AS n_pages, "
+        f"count(DISTINCT {host}) AS n_hosts FROM pages GROUP BY 1",
+        "image_in_script": f"SELECT page_id, {quoted} || replace({_ARTICLE.format('html')}, "
+        f"'{_IMG.removesuffix('</p>')}', {fixed}) AS content, {quoted} || replace({_ARTICLE.format('html')}, "
+        f"'{_IMG.removesuffix('</p>')}', '<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" "
+        f"style=\"max-width:100%;height:auto;\"/>') AS content_v1 FROM ({image_pages})",
         "page_blocks": "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, "
         f"unnest(regexp_extract_all(regexp_replace(html, '(?is){_OPAQUE}', '', 'g'), "
         "'(?i)<(html|body|article|footer|nav|div|p|ul|li|h1)(?:>|\\s)', 1)) AS tag FROM pages) "

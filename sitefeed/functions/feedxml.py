@@ -35,6 +35,8 @@ def cdata(value: str) -> str:
 
 
 def rss_item(title: str, url: str, content: str) -> str:
+    """One item; what is NULL is empty, so no article leaves the feed for a missing part."""
+    title, url, content = (f"coalesce({x}, '')" for x in (title, url, content))
     return (
         f"concat({text('<item>' + chr(10) + '<title>')}, {escape_xml(title)}, "
         f"{text('</title>' + chr(10) + '<link>')}, {escape_xml(url)}, "

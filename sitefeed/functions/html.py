@@ -161,7 +161,7 @@ def attributes(tag: str) -> str:
         f"({n}, {v}) -> named_struct('name', lower({n}), 'value', {unescape(bare)}))"
     )
     # The first entry is the tag's own name.
-    return f"slice({pairs}, 2, 1000000)"
+    return let(pairs, lambda p: f"slice({p}, 2, size({p}))")
 
 
 def _named(attrs: str, name: str) -> str:
@@ -294,9 +294,12 @@ def fix_image_urls(content: str, base: str, mode: str = "v2") -> str:
     alone; v1 reads ``src`` only and styles every image.
     """
     t, g, i = fresh(), fresh(), fresh()
-    images = f"transform({image_tags(content)}, {t} -> {_rewrite_image(t, base, mode)})"
+    # Comments, scripts and styles are pieces of their own and stay as they are.
+    piece = text(f"(?is){OPAQUE}|{IMAGE.removeprefix('(?is)')}")
+    rewritten = f"if(rlike({t}, '(?i)^<img'), {_rewrite_image(t, base, mode)}, {t})"
+    images = f"transform(regexp_extract_all({content}, {piece}, 0), {t} -> {rewritten})"
     woven = (
-        f"array_join(zip_with(split({content}, {text(IMAGE)}, -1), {images}, "
+        f"array_join(zip_with(split({content}, {piece}, -1), {images}, "
         f"({g}, {i}) -> concat({g}, coalesce({i}, ''))), '')"
     )
     return f"if(rlike({content}, {text(IMAGE)}), {woven}, {content})"

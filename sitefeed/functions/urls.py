@@ -7,6 +7,7 @@ pages contain.
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,21 +22,11 @@ PATH = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 QUERY = r"(?s)^[^?#]*\?([^#]*)"
 FRAGMENT = r"(?s)^[^#]*#(.*)$"
 
-# Schemes whose references resolve hierarchically, and schemes
-# whose last path segment may carry ";params".
-RELATIVE_SCHEMES = (
-    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp",
-    "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
-)
-PARAM_SCHEMES = (
-    "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps",
-    "rtspu", "sip", "sips", "mms", "sftp", "tel",
-)
-NETLOC_SCHEMES = (
-    "", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms",
-    "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn",
-    "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss",
-)
+# Schemes whose references resolve hierarchically, and whose last path segment may
+# carry ";params", as the standard library knows them.
+RELATIVE_SCHEMES = tuple(urllib.parse.uses_relative)
+PARAM_SCHEMES = tuple(urllib.parse.uses_params)
+NETLOC_SCHEMES = tuple(urllib.parse.uses_netloc)
 
 # A starter set of public suffix rules. Pass the full public list
 # to ``site_domains`` as a table, or a longer tuple to ``registrable_domain``.
@@ -225,11 +216,10 @@ def registrable_domain(url: str, suffixes: Sequence[str] = DEFAULT_SUFFIXES) ->
     """Public suffix plus one label, as an expression over a small rule set.
 
     Hosts without a known suffix (and addresses) are their own site. Rules are
-    plain (``co.uk``), wildcard (``*.ck``) or exception (``!www.ck``). For the
-    full public list use ``site_domains``, which joins against a table.
+    plain (``co.uk``), wildcard (``*.ck``) or exception (``!www.ck``). The full
+    public list is better passed as a table to ``with_domain``, which looks each
+    host up once instead of carrying all rules in an expression.
     """
-    if len(suffixes) > 500:
-        raise ValueError("pass long rule lists to site_domains as a DataFrame")
     exceptions = strings([s[1:] for s in suffixes if s.startswith("!")] or [""])
     wildcards = strings([s[2:] for s in suffixes if s.startswith("*.")] or ["-"])
     plain = strings([s for s in suffixes if s[0] not in "!*"] or [""])
@@ -254,6 +244,21 @@ def registrable_domain(url: str, suffixes: Sequence[str] = DEFAULT_SUFFIXES) ->
     )
 
 
+def with_domain(
+    table: DataFrame, url_col: str, name: str, rules: DataFrame | Sequence[str] = DEFAULT_SUFFIXES
+) -> DataFrame:
+    """``table`` with the registrable domain of its URLs as column ``name``.
+
+    ``rules`` is a sequence of suffix rules or a DataFrame with a column ``rule``
+    of any length; see ``site_domains``.
+    """
+    if not isinstance(rules, DataFrame):
+        return table.withColumn(name, F.expr(registrable_domain(url_col, rules)))
+    found = site_domains(table, rules, url_col).select(F.col("host").alias("_host"), F.col("domain").alias(name))
+    keyed = table.withColumn("_url_host", F.expr(url_host(url_col)))
+    return keyed.join(found, F.col("_url_host") == F.col("_host"), "left").drop("_host", "_url_host")
+
+
 def site_domains(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """(host, domain) for every distinct host, by a join with a full rule table.
 

@@ -12,9 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from sitefeed.functions import html
 from sitefeed.functions.exprs import strip
 from sitefeed.operators.main_content import cut_spans, main_spans
-from sitefeed.sources.pages import OK, html_pages, page_snapshot
-
-SELECTIVE_SHARE = 0.2
+from sitefeed.sources.pages import OK, html_pages, one_per_page, page_snapshot
 
 Extractor = Callable[[pd.Series, pd.Series], pd.Series]
 
@@ -106,18 +104,14 @@ def extract_articles(
 ) -> DataFrame:
     """Articles of a crawl, with site_id, crawl_rank and depth.
 
-    ``visits`` is the output of ``crawl``. Block scoring runs map-first over the
-    snapshot and yields small rows; bodies meet the (narrow) visits in one join.
-    If the crawl reached a small part of the snapshot, only that part is scored;
-    else scoring all of it is cheaper than shuffling bodies to pick pages first.
+    ``visits`` is the output of ``crawl``. Only pages that the crawl reached are
+    scored; block rows are small, and bodies meet the (narrow) visits in one join.
     """
-    snapshot = html_pages(page_snapshot(pages)).select("page_id", "html")
+    snapshot = html_pages(one_per_page(page_snapshot(pages))).select("page_id", "html")
     wanted = visits.where(F.col("status") == OK).select(
         "site_id", "crawl_rank", "depth", "url", "page_id"
     )
-    scored = snapshot
-    if wanted.count() < SELECTIVE_SHARE * snapshot.count():
-        scored = snapshot.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
+    scored = snapshot.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
     wanted = wanted.join(main_spans(scored), "page_id", "left")
     bodies = wanted.join(snapshot, "page_id").withColumn(
         "main", cut_spans(F.col("html"), F.col("spans"))

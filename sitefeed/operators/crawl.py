@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefeed.functions import urls
@@ -13,7 +12,7 @@ from sitefeed.functions.urls import DEFAULT_SUFFIXES
 from sitefeed.operators.links import page_hrefs, resolve_links
 from sitefeed.operators.positions import with_positions
 from sitefeed.runtime import discard, materialize
-from sitefeed.sources.pages import MISSING, OK, fetch_status, html_pages, page_snapshot
+from sitefeed.sources.pages import MISSING, OK, fetch_status, html_pages, one_per_page, page_snapshot
 
 MAX_PAGES = 500
 _COMPACT_EVERY = 8
@@ -37,20 +36,25 @@ def walk(
     Returns (site_id, url, depth, crawl_rank, status, extra node columns) where
     ``crawl_rank`` is the position in first-in-first-out visiting order. Within
     a level that order is (order of the parent, position of the link), so each
-    node carries its parent's key extended by a fixed-width link position:
+    node carries its parent's key extended by the link position in sortable form:
     comparing keys of one level compares queue positions, with no global sort.
     """
     extra = [c for c in nodes.columns if c not in ("url", "status")]
     scoped = ["scope"] if "scope" in edges.columns else []
     status = F.coalesce("status", F.lit(MISSING)).alias("status")
-    # Targets are looked up once, not per level, and the edge side is partitioned
-    # by the join key of the loop once, so that a level shuffles only its frontier.
-    edges = (
+    made: list[DataFrame] = []
+
+    def kept(table: DataFrame, label: str = "walk") -> DataFrame:
+        made.append(materialize(table, label))
+        return made[-1]
+
+    # Targets are looked up once, not per level. The table is not partitioned by
+    # source: a join may split a hub that a tenth of all nodes leads through.
+    edges = kept(
         edges.withColumnRenamed("dst", "url")
         .join(nodes, "url", "left")
-        .select("src", "pos", "url", status, *scoped, *extra)
-        .repartition("src", *scoped)
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .select("src", "pos", "url", status, *scoped, *extra),
+        "walk-edges",
     )
     start = seeds.join(nodes, "url", "left").select(
         "site_id",
@@ -62,21 +66,40 @@ def walk(
         *scoped,
         *extra,
     )
-    made: list[DataFrame] = []
+    try:
+        visits = _levels(start, edges, kept, [*scoped, *extra], scoped, max_ok, max_depth)
+        ranked = with_positions(
+            visits.select("site_id", "url", "depth", "queue_key", "status", *extra),
+            ["site_id"], ["depth", "queue_key"], "crawl_rank",
+        )
+    finally:
+        # The positions were written, so the levels are no longer needed.
+        discard(*made)
+    return ranked.select("site_id", "url", "depth", "crawl_rank", "status", *extra)
 
-    def kept(table: DataFrame) -> DataFrame:
-        made.append(materialize(table, "walk"))
-        return made[-1]
 
+def _levels(
+    start: DataFrame,
+    edges: DataFrame,
+    kept: Callable[..., DataFrame],
+    carried: list[str],
+    scoped: list[str],
+    max_ok: int | None,
+    max_depth: int | None,
+) -> DataFrame:
+    """All levels of the walk; successes per site are running totals."""
     level = kept(start)
     done: list[DataFrame] = []
+    totals: DataFrame | None = None
     depth = 0
     while True:
-        visited = level if not done else _union(done).unionByName(level)
-        totals = visited.groupBy("site_id").agg(
-            F.count_if(F.col("status") == OK).alias("n_ok"),
-            F.count_if((F.col("status") == OK) & (F.col("depth") == depth)).alias("n_new"),
-        )
+        ok = F.count_if(F.col("status") == OK)
+        counted = level.groupBy("site_id").agg(ok.alias("n_ok"), ok.alias("n_new"))
+        if totals is not None:
+            former = totals.select("site_id", "n_ok", F.lit(0).cast("bigint").alias("n_new"))
+            both = former.unionByName(counted).groupBy("site_id")
+            counted = both.agg(F.sum("n_ok").alias("n_ok"), F.sum("n_new").alias("n_new"))
+        totals = kept(counted, "totals")
         peak, fresh = totals.agg(F.max("n_ok"), F.sum("n_new")).first()
         full = max_ok is not None and peak is not None and peak >= max_ok
         if full:
@@ -91,15 +114,17 @@ def walk(
         if len(done) % _COMPACT_EVERY == 0:
             done = [kept(_union(done))]
         depth += 1
-        level = kept(
-            _next_level(frontier, edges, _union(done), [*scoped, *extra], scoped, depth)
-        )
-    visits = _union(done).select("site_id", "url", "depth", "queue_key", "status", *extra)
-    ranked = with_positions(visits, ["site_id"], ["depth", "queue_key"], "crawl_rank")
-    # The positions were written, so the levels are no longer needed.
-    edges.unpersist()
-    discard(*made)
-    return ranked.select("site_id", "url", "depth", "crawl_rank", "status", *extra)
+        level = kept(_next_level(frontier, edges, _union(done), carried, scoped, depth))
+    return _union(done)
+
+
+def _queue_step(position: Column) -> Column:
+    """Text that sorts like the position, of any size, and is never the start of another.
+
+    The digits in base 36, after one digit that counts them.
+    """
+    digits = F.conv(position.cast("string"), 10, 36)
+    return F.concat(F.conv(F.length(digits).cast("string"), 10, 36), digits)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -119,8 +144,7 @@ def _next_level(
 ) -> DataFrame:
     """Unvisited targets of the frontier, each at its first queue position."""
     parents = frontier.select("site_id", F.col("url").alias("src"), "queue_key", *scoped)
-    # Base 36 at fixed width: 60 million link positions per page.
-    step = F.lpad(F.conv(F.col("pos").cast("string"), 10, 36), 5, "0")
+    step = _queue_step(F.col("pos"))
     reached = (
         parents.join(edges, ["src", *scoped])
         .groupBy("site_id", "url", "status", *carried)
@@ -141,20 +165,21 @@ def _next_level(
 def _cut(level: DataFrame, totals: DataFrame, max_ok: int) -> DataFrame:
     """End each site right after its ``max_ok``-th success.
 
-    Only sites that reach the limit in this level are ranked, and ranking keeps
-    at most ``max_ok`` rows per site and partition before the shuffle.
+    Only sites that reach the limit in this level are ranked, by range partitions,
+    so a site of any size and a limit of any size take many tasks.
     """
     reaching = totals.where((F.col("n_ok") >= max_ok) & (F.col("n_new") > 0)).select(
         "site_id", (F.lit(max_ok) - F.col("n_ok") + F.col("n_new")).alias("room")
     )
-    order = Window.partitionBy("site_id").orderBy("queue_key")
-    last = (
+    ranked = with_positions(
         level.where(F.col("status") == OK)
         .join(reaching, "site_id", "left_semi")
-        .select("site_id", "queue_key", F.row_number().over(order).alias("nth"))
-        .where(F.col("nth") <= max_ok)
-        .join(reaching, "site_id")
-        .where(F.col("nth") == F.col("room"))
+        .select("site_id", "queue_key"),
+        ["site_id"], ["queue_key"], "nth",
+    )
+    last = (
+        ranked.join(reaching, "site_id")
+        .where(F.col("nth") + 1 == F.col("room"))
         .select("site_id", F.col("queue_key").alias("last_key"))
     )
     return (
@@ -200,33 +225,35 @@ def crawl(
     seeds: DataFrame,
     max_pages: int | None = MAX_PAGES,
     max_depth: int | None = None,
-    suffixes: Sequence[str] = DEFAULT_SUFFIXES,
+    suffixes: DataFrame | Sequence[str] = DEFAULT_SUFFIXES,
 ) -> DataFrame:
     """(site_id, url, depth, crawl_rank, status, page_id) of every visited URL.
 
+    ``suffixes`` are public suffix rules, as a sequence or as a table of any
+    length with a column ``rule``.
+
     Follows same-site links from each seed until no new page is found or
     ``max_pages`` pages of the site gave an article. Page bodies are scanned
     once, for their hrefs; the walk itself moves only URLs.
     """
-    snapshot = page_snapshot(pages)
+    snapshot = one_per_page(page_snapshot(pages))
     requests = materialize(page_requests(snapshot, seeds), "requests")
     hrefs = page_hrefs(html_pages(snapshot), "page_id")
     answered = requests.where(F.col("status") == OK).select("page_id", F.col("url").alias("src_url"))
-    domain = F.expr(urls.registrable_domain("url", suffixes)).alias("scope")
     starts = seeds.select("site_id", F.col("seed_url").alias("url")).select(
-        "site_id", "url", F.expr(urls.normalize_url("url")).alias("visit_key"), domain
+        "site_id", "url", F.expr(urls.normalize_url("url")).alias("visit_key")
     )
+    starts = urls.with_domain(starts, "url", "scope", suffixes)
     links = resolve_links(hrefs.join(answered, "page_id")).where(
         F.expr(urls.is_fetchable("dst_url")) & (F.col("dst_url") != F.col("src_url"))
     )
     # A page linking the same target often (menus, footers) keeps its first link.
-    edges = (
-        links.groupBy(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))
-        .agg(F.min("link_pos").alias("pos"))
-        .withColumn("scope", F.expr(urls.registrable_domain("dst", suffixes)))
-        .join(starts.select("scope").distinct(), "scope", "left_semi")
+    edges = links.groupBy(F.col("src_url").alias("src"), F.col("dst_url").alias("dst")).agg(
+        F.min("link_pos").alias("pos")
     )
-    edges = materialize(edges, "edges")
-    visits = walk(edges, starts, requests, max_pages, max_depth)
-    discard(edges, requests)
-    return visits
+    edges = urls.with_domain(edges, "dst", "scope", suffixes)
+    edges = materialize(edges.join(starts.select("scope").distinct(), "scope", "left_semi"), "edges")
+    try:
+        return walk(edges, starts, requests, max_pages, max_depth)
+    finally:
+        discard(edges, requests)

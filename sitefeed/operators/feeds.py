@@ -1,4 +1,4 @@
-"""Feeds: one RSS document per site."""
+"""Feeds: one RSS document per site, as lines, so that a site may have any size."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefeed.functions.feedxml import TAIL, channel_head, rss_item
-from sitefeed.operators.positions import with_positions
 
-ITEMS_PER_DOCUMENT = 500
 _LAST = 2**62
 
 
@@ -33,41 +31,3 @@ def feed_lines(articles: DataFrame, seeds: DataFrame, order: str = "crawl") -> D
     tails = seeds.select("site_id", F.lit(_LAST).alias("seq"), F.lit(TAIL).alias("xml"))
     items = feed_items(articles).select("site_id", seq.alias("seq"), F.col("item").alias("xml"))
     return heads.unionByName(items).unionByName(tails)
-
-
-def build_feeds(
-    articles: DataFrame,
-    seeds: DataFrame,
-    order: str = "crawl",
-    items_per_document: int = ITEMS_PER_DOCUMENT,
-) -> DataFrame:
-    """(site_id, part, feed_xml): complete documents as rows.
-
-    A crawl at the usual page limit fills one document per site (part 0).
-    Larger sites continue in further documents, each well-formed, so that no row
-    grows with the site. For one document of any size use ``write_feeds``.
-    """
-    keys = articles.select("site_id", "crawl_rank")
-    part = F.floor(F.col("nth") / items_per_document).cast("int").alias("part")
-    parts = with_positions(keys, ["site_id"], ["crawl_rank"], "nth").select(
-        "site_id", "crawl_rank", part
-    )
-    sign = {"crawl": 1, "reverse": -1}[order]
-    entry = F.struct((F.col("crawl_rank") * sign).alias("seq"), "item")
-    bodies = (
-        feed_items(articles)
-        .join(parts, ["site_id", "crawl_rank"])
-        .groupBy("site_id", "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(
-            "site_id", "part", F.transform("entries", lambda e: e["item"]).alias("items")
-        )
-    )
-    head = F.expr(channel_head("seed_url"))
-    none = F.array().cast("array<string>")
-    lines = F.concat(F.array(head), F.coalesce("items", none), F.array(F.lit(TAIL)))
-    return seeds.join(bodies, "site_id", "left").select(
-        "site_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.array_join(lines, "\n").alias("feed_xml"),
-    )

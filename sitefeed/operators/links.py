@@ -45,16 +45,17 @@ def page_images(pages: DataFrame, mode: str = "v2") -> DataFrame:
 
 
 def in_site_links(
-    links: DataFrame, seeds: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES
+    links: DataFrame, seeds: DataFrame, suffixes: DataFrame | Sequence[str] = DEFAULT_SUFFIXES
 ) -> DataFrame:
     """Links whose target lies on the registrable domain of a seed, with its site_id.
 
     An equi-join on the domain. The seed side is not hinted: it is broadcast
     when its measured size allows, else both sides shuffle and skewed domains
-    are split by adaptive execution.
+    are split by adaptive execution. ``suffixes`` may be a table of rules.
     """
-    sites = seeds.select(
-        "site_id", F.expr(urls.registrable_domain("seed_url", suffixes)).alias("domain")
-    )
-    domain = urls.registrable_domain("dst_url", suffixes)
-    return with_computed(links, "domain", domain).join(sites, "domain").drop("domain")
+    sites = urls.with_domain(seeds, "seed_url", "domain", suffixes).select("site_id", "domain")
+    if isinstance(suffixes, DataFrame):
+        placed = urls.with_domain(links, "dst_url", "domain", suffixes)
+    else:
+        placed = with_computed(links, "domain", urls.registrable_domain("dst_url", suffixes))
+    return placed.join(sites, "domain").drop("domain")

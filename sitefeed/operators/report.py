@@ -20,7 +20,7 @@ def content_report(articles: DataFrame) -> DataFrame:
 
 
 def site_summary(
-    visits: DataFrame, unique_articles: DataFrame, max_pages: int = MAX_PAGES
+    visits: DataFrame, unique_articles: DataFrame, max_pages: int | None = MAX_PAGES
 ) -> DataFrame:
     """(site_id, n_visited, n_articles, n_failed, progress, n_unique, n_duplicates)."""
     fetched = visits.groupBy("site_id").agg(
@@ -30,12 +30,14 @@ def site_summary(
     )
     unique = unique_articles.groupBy("site_id").agg(F.count("*").alias("n_unique"))
     n_unique = F.coalesce("n_unique", F.lit(0))
+    share = F.col("n_articles") / F.lit(max_pages) * 100
+    progress = F.least(share, F.lit(100.0)) if max_pages else F.lit(None).cast("double")
     return fetched.join(unique, "site_id", "left").select(
         "site_id",
         "n_visited",
         "n_articles",
         "n_failed",
-        F.least(F.col("n_articles") / max_pages * 100, F.lit(100.0)).alias("progress"),
+        progress.alias("progress"),
         n_unique.alias("n_unique"),
         (F.col("n_articles") - n_unique).alias("n_duplicates"),
     )

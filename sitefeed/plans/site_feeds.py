@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from sitefeed.functions.urls import DEFAULT_SUFFIXES
 from sitefeed.operators.articles import Extractor, extract_articles
 from sitefeed.operators.crawl import MAX_PAGES, crawl
 from sitefeed.operators.exact_dedup import deduplicate
@@ -33,13 +35,14 @@ def site_feeds(
     mode: str = "v2",
     max_pages: int | None = MAX_PAGES,
     extractor: Extractor | None = None,
+    suffixes: DataFrame | Sequence[str] = DEFAULT_SUFFIXES,
 ) -> SiteFeeds:
     """Crawl every seed's site in ``pages`` and build its feed.
 
     ``mode`` selects titles, fallback and dedup of the two variants: v2 drops
     equal texts, v1 drops texts similar to an earlier kept one.
     """
-    visits = materialize(crawl(pages, seeds, max_pages), "visits")
+    visits = materialize(crawl(pages, seeds, max_pages, suffixes=suffixes), "visits")
     found = materialize(extract_articles(visits, pages, mode, extractor), "articles")
     unique = deduplicate(found) if mode == "v2" else deduplicate_similar(found)
     return SiteFeeds(
@@ -48,5 +51,5 @@ def site_feeds(
         feed=feed_lines(unique, seeds),
         report=crawl_report(visits),
         contents=content_report(found),
-        summary=site_summary(visits, unique, max_pages or MAX_PAGES),
+        summary=site_summary(visits, unique, max_pages),
     )

@@ -17,20 +17,36 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", **option
     return page_snapshot(spark.read.format(format).options(**options).load(path))
 
 
-def read_page_files(spark: SparkSession, path: str, base_url: str, glob: str = "*.html") -> DataFrame:
-    """Read a mirrored site: one HTML file per page, URL = ``base_url`` + relative path."""
+def read_page_files(
+    spark: SparkSession, path: str, base_url: str, glob: str = "*.html", charset: str | None = None
+) -> DataFrame:
+    """Read a mirrored site: one HTML file per page, URL = ``base_url`` + relative path.
+
+    Bytes never fail a job. Without a charset, a file that is UTF-8 is read as
+    such and any other as Latin-1, the default of the protocol. With charset
+    UTF-8, bad bytes become replacement characters.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    root = path.rstrip("/") + "/"
-    relative = F.regexp_replace(F.element_at(F.split(F.col("path"), root, -1), -1), r"^/+", "")
+    # The folder is looked for literally: its name may hold any characters.
+    root = F.lit(path.rstrip("/") + "/")
+    begin = F.instr("path", root) + F.length(root)
+    relative = F.regexp_replace(F.substring("path", begin, F.length("path")), r"^/+", "")
+    plain = F.col("content").cast("string")
+    if charset is None:
+        page = F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode("content", "ISO-8859-1"))
+    elif charset.upper().replace("-", "") == "UTF8":
+        page = F.make_valid_utf8(plain)
+    else:
+        page = F.decode("content", charset)
     return page_snapshot(
         files.select(
             F.concat(F.lit(base_url.rstrip("/") + "/"), relative).alias("url"),
-            F.decode("content", "UTF-8").alias("html"),
+            page.alias("html"),
         )
     )
 
@@ -54,6 +70,26 @@ def page_snapshot(pages: DataFrame) -> DataFrame:
     return pages.select(*columns)
 
 
+def one_per_page(snapshot: DataFrame) -> DataFrame:
+    """One row per page id: a page fetched again keeps one answer, a success if there is one.
+
+    Among equal answers the one with the least digest of the body stays. Ids are
+    counted first, which reads no bodies; only repeated pages are compared.
+    """
+    again = snapshot.groupBy("page_id").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        F.col("page_id").alias("_again")
+    )
+    if again.isEmpty():
+        return snapshot
+    same = F.col("page_id").eqNullSafe(F.col("_again"))
+    rank = F.struct(
+        (fetch_status(F.col("status"), F.col("content_type")) != OK).alias("bad"), F.md5("html").alias("digest"), "url"
+    )
+    row = F.struct(*snapshot.columns)
+    chosen = snapshot.join(again, same, "left_semi").groupBy("page_id").agg(F.min_by(row, rank).alias("_row"))
+    return snapshot.join(again, same, "left_anti").unionByName(chosen.select("_row.*"))
+
+
 def is_success(status: Column) -> Column:
     return F.coalesce(status < 400, F.lit(False))
 

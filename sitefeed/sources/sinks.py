@@ -24,7 +24,8 @@ def write_feeds(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_feed(spark: SparkSession, path: str, site_id: str) -> DataFrame:
     """Lines of one site's feed; partition pruning touches that site only."""
-    return spark.read.text(path).where(F.col("site_id") == site_id)
+    lines = spark.read.schema("value string, site_id string").text(path)
+    return lines.where(F.col("site_id") == site_id)
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:

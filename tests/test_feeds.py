@@ -1,7 +1,7 @@
 import xml.etree.ElementTree as ET
 
 from sitefeed.operators.article_list import article_index, select_article
-from sitefeed.operators.feeds import build_feeds, feed_lines
+from sitefeed.operators.feeds import feed_lines
 from sitefeed.plans.site_feeds import site_feeds
 from sitefeed.sources.pages import read_page_files, read_pages
 from sitefeed.sources.sinks import read_feed, read_feed_items, write_articles, write_feeds
@@ -27,25 +27,58 @@ def items(document):
     return channel, [(i.findtext("title"), i.findtext("link"), i.findtext("description") or None) for i in channel.iter("item")]
 
 
+def documents(lines):
+    """One document per site from feed lines."""
+    found = {}
+    for r in lines.orderBy("site_id", "seq").collect():
+        found.setdefault(r.site_id, []).append(r.xml)
+    return {site: "\n".join(parts) for site, parts in found.items()}
+
+
 def test_documents_are_well_formed(spark):
     articles, seeds = inputs(spark)
-    feeds = {r.site_id: r.feed_xml for r in build_feeds(articles, seeds).collect()}
+    feeds = documents(feed_lines(articles, seeds))
     channel, found = items(feeds["s"])
     assert channel.findtext("title") == "http://s.com/ 全站 RSS"
     assert channel.findtext("link") == "http://s.com/"
     assert channel.findtext("description") == "自动生成全站RSS"
     assert found == [(a[2], a[3], c) for a, c in zip(ARTICLES, CONTENTS)]
     assert items(feeds["none"])[1] == []
-    reverse = {r.site_id: r.feed_xml for r in build_feeds(articles, seeds, "reverse").collect()}
+    reverse = documents(feed_lines(articles, seeds, "reverse"))
     assert items(reverse["s"])[1] == found[::-1]
 
 
-def test_large_sites_continue_in_further_documents(spark):
-    articles, seeds = inputs(spark)
-    rows = build_feeds(articles, seeds, items_per_document=2).collect()
-    assert sorted((r.site_id, r.part, len(items(r.feed_xml)[1])) for r in rows) == [
-        ("none", 0, 0), ("s", 0, 2), ("s", 1, 1),
-    ]
+def test_a_site_of_any_size_is_one_document_and_missing_parts_lose_no_item(spark):
+    _, seeds = inputs(spark)
+    rows = [("s", i, None if i % 2 else f"t{i}", f"http://s.com/{i}", None if i % 3 else "c", "x") for i in range(700)]
+    feeds = documents(feed_lines(spark.createDataFrame(rows, SCHEMA), seeds))
+    assert sorted(feeds) == ["none", "s"]
+    found = items(feeds["s"])[1]
+    assert [link for _, link, _ in found] == [r[3] for r in rows]
+    assert found[1] == ("", "http://s.com/1", None)
+
+
+def test_reading_one_feed_keeps_site_ids_apart(spark, tmp_path):
+    _, seeds = inputs(spark)
+    rows = [("7", 1, "a", "u", "c", "x"), ("007", 1, "b", "u", "c", "x")]
+    write_feeds(feed_lines(spark.createDataFrame(rows, SCHEMA), seeds), str(tmp_path / "f"))
+    for site, title in (("7", "a"), ("007", "b")):
+        lines = [r.value for r in read_feed(spark, str(tmp_path / "f"), site).collect()]
+        assert sum("<title>" in x for x in lines) == 1 and any(f"<title>{title}<" in x for x in lines)
+
+
+def test_page_files_of_any_bytes_and_folder_names(spark, tmp_path):
+    folder = tmp_path / "site(v1)+x"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.html").write_bytes("é".encode())
+    (folder / "sub" / "b.html").write_bytes("é".encode("latin-1"))
+    got = {r.url: r.html for r in read_page_files(spark, str(folder), "http://s.com").collect()}
+    assert got == {"http://s.com/a.html": "é", "http://s.com/sub/b.html": "é"}
+    strict = read_page_files(spark, str(folder), "http://s.com/", charset="utf-8").collect()
+    assert {r.html for r in strict} == {"é", "\ufffd"}
+    other = read_page_files(spark, str(folder), "http://s.com", charset="ISO-8859-1").collect()
+    assert {r.html for r in other} == {"Ã©", "é"}
+
 
 
 def test_files_concatenate_to_the_document(spark, tmp_path):
