@@ -14,7 +14,7 @@ from sitefeed.operators import exact_dedup, near_dedup
 from sitefeed.operators.article_list import article_index, select_article
 from sitefeed.operators.crawl import MAX_PAGES, crawl, walk
 from sitefeed.operators.feeds import feed_items, feed_lines
-from sitefeed.operators.links import in_site_links, page_images, page_links
+from sitefeed.operators.links import in_site_links, page_hrefs, page_images, page_links
 from sitefeed.operators.main_content import block_table, main_spans, score_blocks
 from sitefeed.operators.positions import with_positions
 from sitefeed.operators.report import content_report, crawl_report, site_summary
@@ -32,8 +32,7 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = corpus_queries = None
 
 BODY = "regexp_extract(html, '(?s)<article>.*?</article>', 0)"
-# Recursion in SQL does not end on cycles by itself; walks end far earlier.
-SQL_DEPTH = 60
+WALK_LIMIT = 20
 
 
 # Inputs ---------------------------------------------------------------------
@@ -345,6 +344,35 @@ def crawl_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages under the addresses that their links name: the most linked path for the first page, and so on."""
+    pages = _pages(spark, sf_dir)
+    path = F.expr(urls.normalize_url("href")).alias("path")
+    named = page_hrefs(pages, "page_id").select(path).groupBy("path").agg((-F.count("*")).alias("few"))
+    all_ = F.lit(1).alias("all")
+    names = with_positions(named.select("*", all_), ["all"], ["few", "path"], "nth").select("nth", "path")
+    places = with_positions(pages.select("page_id", all_), ["all"], ["page_id"], "nth").select("nth", "page_id")
+    placed = places.join(names, "nth").select("page_id", F.concat(F.lit("http://walk.org"), "path").alias("url"))
+    return materialize(pages.select("page_id", "html").join(placed, "page_id"), "linked-pages")
+
+
+def _deep(spark: SparkSession, sf_dir: str, max_pages: int | None) -> DataFrame:
+    pages = _linked_pages(spark, sf_dir)
+    first = pages.agg(F.min_by("url", "page_id").alias("seed_url"))
+    visits = crawl(pages, first.select(F.lit("walk").alias("site_id"), "seed_url"), max_pages)
+    return visits.select("site_id", "url", "depth", "crawl_rank", "status")
+
+
+def deep_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk over pages that do link each other, to its end."""
+    return _deep(spark, sf_dir, None)
+
+
+def deep_crawl_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same walk, ended after its twentieth article."""
+    return _deep(spark, sf_dir, WALK_LIMIT)
+
+
 def visit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = crawl(_pages(spark, sf_dir), _page_seeds(spark, sf_dir))
     return crawl_report(visits)
@@ -423,7 +451,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         text_fingerprint, short_pages, extracted_short_pages, page_articles,
         page_articles_v1, content_sources, unique_articles, duplicate_groups, unique_documents,
         compact_documents, character_bags, near_unique_documents, near_unique_articles,
-        link_reach, crawl_visits, visit_report, crawl_limit, articles_by_site, article_list,
+        link_reach, crawl_visits, deep_crawl, deep_crawl_limited, visit_report, crawl_limit, articles_by_site, article_list,
         unique_documents_null_group, repeated_pages, site_counts_by_rules, image_in_script,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
         site_articles,
@@ -507,6 +535,25 @@ _LINKS = (
     f"{_HREFS}, links AS (SELECT page_id, url AS src_url, link_pos, href, "
     f"{_NORM.format('(' + _ROOT.format('url') + ' || href)')} AS dst_url FROM links_raw)"
 )
+# Level by level: each row carries all addresses seen before its level ended.
+_DEEP = (
+    f"WITH RECURSIVE {_HREFS}, paths AS (SELECT page_id, link_pos, {_NORM.format('href')} AS path FROM links_raw), "
+    "names AS (SELECT path, row_number() OVER (ORDER BY n DESC, path) AS nth FROM "
+    "(SELECT path, count(*) AS n FROM paths GROUP BY 1)), "
+    "places AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS nth FROM pages), "
+    "snap AS (SELECT page_id, 'http://walk.org' || path AS url FROM places JOIN names USING (nth)), "
+    "steps AS (SELECT url AS src, 'http://walk.org' || path AS dst, min(link_pos) AS pos FROM paths "
+    "JOIN snap USING (page_id) WHERE url <> 'http://walk.org' || path GROUP BY 1, 2), "
+    "walked(url, depth, nth, seen) AS (SELECT url, 0, CAST(0 AS BIGINT), [url] FROM "
+    "(SELECT arg_min(url, page_id) AS url FROM snap) UNION ALL "
+    "SELECT url, depth, row_number() OVER (ORDER BY o), list_concat(seen, list(url) OVER ()) FROM "
+    "(SELECT e.dst AS url, w.depth + 1 AS depth, min({'r': w.nth, 'p': e.pos}) AS o, any_value(w.seen) AS seen "
+    "FROM walked w JOIN steps e ON e.src = w.url WHERE NOT list_contains(w.seen, e.dst) GROUP BY 1, 2)), "
+    "ranked AS (SELECT 'walk' AS site_id, url, depth, row_number() OVER q - 1 AS crawl_rank, status, "
+    "coalesce(sum(CAST(status = 'ok' AS INTEGER)) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS ok_before FROM (SELECT walked.*, CASE WHEN snap.url IS NULL THEN 'missing' ELSE 'ok' END AS status "
+    "FROM walked LEFT JOIN snap USING (url)) WINDOW q AS (ORDER BY depth, nth))"
+)
 _ART = (
     "body AS (SELECT page_id, url, html, "
     f"{_ARTICLE.format('html')} AS art FROM pages), "
@@ -617,11 +664,16 @@ def oracle_sql() -> dict[str, str]:
         "character_bags": "SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split("
         "replace(replace(text, chr(10), ''), ' ', ''), '')) AS ch FROM documents) "
         "WHERE ch <> '' GROUP BY 1, 2",
+        # A row enters once: the recursion ends when no new node is reached.
         "link_reach": f"WITH RECURSIVE {_HREFS}, hops AS (SELECT 'page ' || page_id AS src, "
         "'label ' || href AS dst FROM links_raw UNION SELECT 'label ' || href, 'page ' || page_id "
-        "FROM links_raw), reach(url, depth) AS (SELECT 'page 0', 0 UNION SELECT h.dst, r.depth + 1 "
-        f"FROM reach r JOIN hops h ON h.src = r.url WHERE r.depth < {SQL_DEPTH}) "
-        "SELECT url, min(depth) AS depth FROM reach GROUP BY 1",
+        "FROM links_raw), reach(url, depth) USING KEY (url) AS (SELECT 'page 0', 0 UNION "
+        "SELECT h.dst, min(r.depth) + 1 FROM reach r JOIN hops h ON h.src = r.url "
+        "WHERE NOT EXISTS (SELECT 1 FROM recurring.reach o WHERE o.url = h.dst) GROUP BY h.dst) "
+        "SELECT url, depth FROM reach",
+        "deep_crawl": f"{_DEEP} SELECT site_id, url, depth, crawl_rank, status FROM ranked",
+        "deep_crawl_limited": f"{_DEEP} SELECT site_id, url, depth, crawl_rank, status FROM ranked "
+        f"WHERE ok_before < {WALK_LIMIT}",
         "crawl_visits": f"WITH {_VISITS} SELECT site_id, url, depth, crawl_rank, status FROM visits",
         "visit_report": f"WITH {_VISITS} SELECT site_id, depth, status, count(*) AS n FROM visits "
         "GROUP BY 1, 2, 3",
@@ -649,7 +701,7 @@ def oracle_sql() -> dict[str, str]:
         "image_in_script": f"SELECT page_id, {quoted} || replace({_ARTICLE.format('html')}, "
         f"'{_IMG.removesuffix('</p>')}', {fixed}) AS content, {quoted} || replace({_ARTICLE.format('html')}, "
         f"'{_IMG.removesuffix('</p>')}', '<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" "
-        f"style=\"max-width:100%;height:auto;\"/>') AS content_v1 FROM ({image_pages})",
+        f"style=\"max-width:100%;height:auto;margin:5px 0;\"/>') AS content_v1 FROM ({image_pages})",
         "page_blocks": "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, "
         f"unnest(regexp_extract_all(regexp_replace(html, '(?is){_OPAQUE}', '', 'g'), "
         "'(?i)<(html|body|article|footer|nav|div|p|ul|li|h1)(?:>|\\s)', 1)) AS tag FROM pages) "
