@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitefeed.operators.crawl import crawl
 from sitefeed.operators.positions import with_positions
@@ -127,3 +128,32 @@ def test_positions_of_a_hot_group(spark):
     assert sorted((r.g, r.at, r.k) for r in found) == sorted(
         (g, i, k) for g, ks in expected.items() for i, k in enumerate(ks)
     )
+
+
+def test_queue_steps_sort_like_positions_of_any_size(spark):
+    from sitefeed.operators.crawl import _queue_step
+
+    places = [0, 1, 9, 10, 35, 36, 1295, 1296, 60_466_175, 60_466_176, 60_466_177, 5_000_000, 2**40, 2**62]
+    table = spark.createDataFrame([(p,) for p in places], "p bigint").select("p", _queue_step(F.col("p")).alias("k"))
+    steps = {r.k: r.p for r in table.collect()}
+    assert [steps[k] for k in sorted(steps)] == sorted(places)
+    assert not any(a != b and b.startswith(a) for a in steps for b in steps)
+
+
+def test_limits_beyond_a_thousand_and_repeated_pages(spark):
+    links = "".join(f'<a href="/p{i}">x</a>' for i in range(1500))
+    rows = [("http://s.com/", 200, links)] + [(f"http://s.com/p{i}", 200, "x") for i in range(1500)]
+    rows += [("http://s.com/p3", 500, "x"), ("http://s.com/p3", 200, "x")]
+    pages = spark.createDataFrame(rows, "url string, status int, html string")
+    seeds = spark.createDataFrame([("s", "http://s.com/")], "site_id string, seed_url string")
+    got = sorted((r.crawl_rank, r.url) for r in crawl(pages, seeds, max_pages=1200).collect())
+    assert got == [(0, "http://s.com/")] + [(i + 1, f"http://s.com/p{i}") for i in range(1199)]
+
+
+def test_suffix_rules_as_a_table_of_any_length(spark):
+    rules = spark.createDataFrame([(f"x{i}",) for i in range(700)] + [("xyz",), ("co.xyz",), ("*.ck",), ("!www.ck",)], "rule string")
+    html = '<a href="http://blog.shop.xyz/">a</a><a href="http://other.xyz/">b</a>'
+    pages = spark.createDataFrame([("http://www.shop.xyz", html), ("http://blog.shop.xyz", "x"), ("http://other.xyz", "y")], "url string, html string")
+    seeds = spark.createDataFrame([("s", "http://www.shop.xyz")], "site_id string, seed_url string")
+    got = sorted(r.url for r in crawl(pages, seeds, suffixes=rules).collect())
+    assert got == ["http://blog.shop.xyz", "http://www.shop.xyz"]
