@@ -171,8 +171,9 @@ def _tiles(documents: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataF
     size = blocks.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
     members = blocks.join(size, "block").join(classes.select("rep", "node", "copies"), "rep")
     members = members.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.col("n_tiles")).cast("int"))
+    # Candidates grow with the corpus, so the plan is the same at every size: a merge join.
     texts = documents.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(
-        materialize(members, "members"), "rep"
+        materialize(members, "members").hint("merge"), "rep"
     )
 
     def work(batch: pa.RecordBatch):
