@@ -1,12 +1,20 @@
 """License scan by conditional compression.
 
-Words around cue words make candidate blocks. A block is compressed alone and
-once with each license template as a zstandard raw dictionary; the template that
-saves most describes the block best. Templates are tried in the order of their
-savings and confirmed by the exact differences in wording: the least word edits
-between the template and any stretch of the block. A template is found if no
-word that sets it apart from the other templates is touched and at most
-``EDITS`` of its words are; other stretches of the block are then tried again.
+Two kinds of templates: the full texts of common licenses with the standard
+headers of others (``license_texts``, ``HEADERS``), and short notices, every name
+form of a license (``FORMS``) in every wording of ``FRAMES``. A block is compressed
+alone and once with each template in question as a zstandard raw dictionary; the
+templates that save something are tried in the order of their savings and
+confirmed by the exact differences in wording. Of those confirmed, the one with
+most words equal, an edit counting as three, describes the place; then the text
+before and after it is tried again.
+
+Only words that name a license or its version are untouchable, in the template
+and in the text: they must stand in both. A notice is found as a whole, with at
+most ``EDITS`` of its words edited. Of a full text any stretch is found that has
+``LEAST`` words equal and at most one edit to three of them; such a stretch
+always has three equal words in a row, by which blocks are found. Where licenses
+share a wording, the shortest text that has it is named.
 
 Words are letters, digits and non-ASCII, lower-cased in A-Z, so capitals, line
 breaks and signs between words do not matter. Whole texts are searched. Null or
@@ -16,6 +24,7 @@ exclusive. Repeated rows give repeated rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from functools import lru_cache
 
@@ -28,27 +37,93 @@ from pyspark.sql import functions as F
 from sitefeed.llm.common import per_batch
 from sitefeed.llm.words import TO_LOWER, Texts, slices
 
-# Names and notices of common licenses.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+# Common licenses, the forms of their names, the wordings of notices.
+FULL = (
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.2",
+    "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1",
+    "MPL-2.0", "NCSA", "OFL-1.1", "Unlicense", "Zlib",
+)
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License "
+    "as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. "
+    "You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see https://www.gnu.org/licenses/."
+)
+HEADERS = (
+    ("AGPL-3.0", _GNU.format("program", "Affero ", "3")),
+    ("GPL-1.0", _GNU.format("program", "", "1")),
+    ("GPL-2.0", _GNU.format("program", "", "2")),
+    ("GPL-3.0", _GNU.format("program", "", "3")),
+    ("LGPL-2.0", _GNU.format("library", "Library ", "2")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+)
+
+
+def _gnu(short: str, long: str, *versions: str) -> dict[str, tuple[str, ...]]:
+    """Name forms of the versions of a GNU license."""
+    out = {}
+    for v in versions:
+        shown = {v, v.removesuffix(".0")}
+        forms = [f.format(x) for x in sorted(shown) for f in (f"GNU {long}, version {{}}", f"{long}, version {{}}", f"GNU {long} {{}}", f"GNU {long} v{{}}", f"{short} {{}}", f"{short}v{{}}", f"{short} v{{}}", f"{short} version {{}}", f"GNU {short} v{{}}", f"GNU {short}v{{}}")]
+        out[f"{short}-{v}"] = tuple(forms)
+    return out
+
+
+def _commons(kind: str, words: str) -> dict[str, tuple[str, ...]]:
+    return {f"CC-{kind}-{v}": (f"CC {kind} {v}", f"Creative Commons {words} {v}", f"Creative Commons {words} {v} International License", f"Creative Commons {kind} {v}") for v in ("4.0", "3.0")}
+
+
+FORMS = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2.0", "Apache License, Version 2", "Apache 2 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"),
+    "ISC": ("ISC License",),
+    "MIT": ("MIT License", "MIT licence"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    **_gnu("AGPL", "Affero General Public License", "3.0"),
+    **_gnu("GPL", "General Public License", "1.0", "2.0", "3.0"),
+    **_gnu("LGPL", "Lesser General Public License", "2.1", "3.0"),
+    **_gnu("LGPL", "Library General Public License", "2.0"),
+    **_gnu("GFDL", "Free Documentation License", "1.2", "1.3"),
+    **_commons("BY", "Attribution"),
+    **_commons("BY-NC", "Attribution-NonCommercial"),
+    **_commons("BY-SA", "Attribution-ShareAlike"),
+    **_commons("BY-ND", "Attribution-NoDerivatives"),
+    **_commons("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    **_commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+}
+FRAMES = (
+    "Licensed under the {}", "Licensed under {}", "Released under the {}", "Released under {}", "This work is licensed under the {}",
+    "This work is licensed under a {}", "Available under the {}", "under the terms of the {}", "Licensed under the terms of the {}",
+    "Distributed under the terms of the {}", "Published under the {}",
 )
-CUES = ("licen", "released", "permission", "redistribution")
+#: Words that name a license; in notices the numbers of versions, too, in texts those after "version".
+NAMES = frozenset(
+    "affero agpl agplv3 apache artistic boost bsd cc cc0 eclipse epl gfdl gnu gpl gplv1 gplv2 gplv3 isc lesser lgpl lgplv2 lgplv3 library "
+    "mit mozilla mpl nc nd sa noncommercial noderivatives sharealike sil unlicense zlib simplified modified".split()
+)
+CUES = ("licen", "released", "permission", "redistribution", "copyright", "warrant", "gpl", "creative commons", "spdx", "under the terms", "available under", "published under")
+WORD_CUES = (*(c.split()[0] for c in CUES if c not in ("under the terms",)), "terms")
 
-#: Words on either side of a cue; share of a template's words that may differ.
+#: Words on either side of a cue or seed; share of a notice's words that may differ.
 AROUND, EDITS = 30, 0.25
-#: Blocks longer than this are cut with an overlap of the longest template.
+#: Equal words that a stretch of a full text needs; equal words in a row that lead to it.
+LEAST, SEED = 15, 3
+#: Blocks longer than this are cut with an overlap of the longest notice.
 BLOCK_WORDS = 120
 LEVEL = 9
+NEVER = 1_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -57,66 +132,188 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].translate(_LOWER), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def words_of(text: str) -> list[str]:
+    return [w for w, _, _ in word_spans(text)]
+
+
+def is_number(word: str) -> bool:
+    return word.removeprefix("v").isdigit()
+
+
+class Template:
+    """Name and words of a license; the words that are untouchable; its compressor."""
+
+    def __init__(self, name: str, text: str, notice: bool):
+        self.name, self.words = name, words_of(text)
+        self.named = [w in NAMES or (notice and is_number(w)) for w in self.words]
+        if not notice:
+            for i in range(1, len(self.words)):
+                after = self.words[i - 1] == "version" or (self.named[i - 1] and is_number(self.words[i - 1]))
+                self.named[i] |= is_number(self.words[i]) and after
+        self.names = {w for w, named in zip(self.words, self.named, strict=True) if named}
+
+    @property
+    @lru_cache(maxsize=None)  # noqa: B019
+    def compressor(self) -> zstandard.ZstdCompressor:
+        primer = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False)
+
+
 @lru_cache(maxsize=1)
-def templates() -> list[tuple[str, list[str], set[str], zstandard.ZstdCompressor]]:
-    """Name, words, words that set it apart from templates of other names, compressor primed with it."""
-    words = [[w for w, _, _ in word_spans(text)] for _, text in TEMPLATES]
-    out = []
-    for (name, _), own in zip(TEMPLATES, words, strict=True):
-        # A word sets a template apart from a similar one of another name.
-        apart: set[str] = set()
-        for (other, _), theirs in zip(TEMPLATES, words, strict=True):
-            if other != name and len(set(own) & set(theirs)) * 2 >= min(len(set(own)), len(set(theirs))):
-                apart |= set(own) - set(theirs)
-        apart |= {w for w in own if w.isdigit()}
-        primer = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, own, apart, zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False)))
-    return out
+def notices() -> list[Template]:
+    found: dict[tuple[str, tuple[str, ...]], Template] = {}
+    for name, forms in FORMS.items():
+        for text in [f.format(form) for form in forms for f in FRAMES] + [f"SPDX-License-Identifier: {name}"]:
+            t = Template(name, text, True)
+            found.setdefault((name, tuple(t.words)), t)
+    return list(found.values())
 
 
-def savings(words: list[str]) -> list[tuple[float, int]]:
-    """(share saved, template number) of a block, best first."""
+@lru_cache(maxsize=1)
+def full_texts() -> list[Template]:
+    texts = [(n, (pkgutil.get_data("sitefeed.llm", f"license_texts/{n}.txt") or b"").decode()) for n in FULL]
+    return [Template(n, t, False) for n, t in texts + list(HEADERS)]
+
+
+@lru_cache(maxsize=1)
+def vocabulary() -> tuple[dict[str, int], list[np.ndarray], dict[tuple[str, ...], list[int]]]:
+    """Numbers of the words of all full texts; the texts in numbers; which texts have a run of ``SEED`` words."""
+    numbers: dict[str, int] = {}
+    coded, seeds = [], {}
+    for k, t in enumerate(full_texts()):
+        coded.append(np.array([numbers.setdefault(w, len(numbers)) for w in t.words]))
+        for i in range(len(t.words) - SEED + 1):
+            texts = seeds.setdefault(tuple(t.words[i : i + SEED]), [])
+            if not texts or texts[-1] != k:
+                texts.append(k)
+    return numbers, coded, seeds
+
+
+def savings(words: list[str], tried: list[Template]) -> list[tuple[float, int]]:
+    """(share saved, place in ``tried``) of the templates that save something of a block, best first."""
     block = " ".join(words).encode()
     alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(block))
-    found = [(1 - len(t[3].compress(block)) / alone, k) for k, t in enumerate(templates())]
-    return sorted(found, key=lambda x: (-x[0], x[1]))
+    found = [(1 - len(t.compressor.compress(block)) / alone, k) for k, t in enumerate(tried)]
+    return sorted((x for x in found if x[0] > 0), key=lambda x: (-x[0], x[1]))
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, int, set[str]]:
-    """Least word edits to a stretch of the block: edits, begin, end, template words touched."""
+def differences(template: Template, block: list[str]) -> tuple[int, int, int]:
+    """Least word edits of the whole template to a stretch of the block: edits, begin, end."""
     size = len(block)
+    fixed = [w in NAMES or is_number(w) for w in block]
     rows = [[0] * (size + 1)]
-    for i, w in enumerate(template, 1):
-        above, row = rows[-1], [i]
-        for j, b in enumerate(block, 1):
-            row.append(min(above[j - 1] + (w != b), above[j] + 1, row[-1] + 1))
+    skip = [NEVER if n else 1 for n in template.named]
+    extra = [NEVER if n else 1 for n in fixed]
+    for w, cost in zip(template.words, skip, strict=True):
+        above, row = rows[-1], [rows[-1][0] + cost]
+        for j, b in enumerate(block):
+            change = 0 if w == b else max(cost, extra[j])
+            row.append(min(above[j] + change, above[j + 1] + cost, row[-1] + extra[j]))
         rows.append(row)
     end = min(range(size + 1), key=lambda j: (rows[-1][j], j))
-    i, j, touched = len(template), end, set()
+    i, j = len(template.words), end
     while i:
-        if j and rows[i][j] == rows[i - 1][j - 1] + (template[i - 1] != block[j - 1]):
-            if template[i - 1] != block[j - 1]:
-                touched.add(template[i - 1])
+        w, cost = template.words[i - 1], skip[i - 1]
+        if j and rows[i][j] == rows[i - 1][j - 1] + (0 if w == block[j - 1] else max(cost, extra[j - 1])):
             i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] + 1:
-            touched.add(template[i - 1])
+        elif rows[i][j] == rows[i - 1][j] + cost:
             i -= 1
         else:
             j -= 1
-    return rows[-1][end], j, end, touched
+    return rows[-1][end], j, end
+
+
+def best_stretch(template: Template, coded: np.ndarray, words: list[str], numbers: dict[str, int]) -> tuple[int, int, int, int]:
+    """The stretches of template and block that agree best: score, edits, begin and end in the block.
+
+    The score is the number of equal words less three for an edit. Row by row of
+    the block, over all places of the template at once; every cell carries where
+    its stretch began and its edits.
+    """
+    n = len(coded)
+    cost = np.where(np.array(template.named), NEVER, 3)
+    skipped = np.concatenate([[0], np.cumsum(cost)])
+    places = np.arange(n + 1)
+    score, start, edits = (np.zeros(n + 1, np.int64) for _ in range(3))
+    best = (0, 0, 0, 0)
+    for i, w in enumerate(words):
+        number, extra = numbers.get(w, -1), NEVER if w in NAMES else 3
+        equal = coded == number
+        above = score - extra
+        here, since, changed = np.maximum(above, 0), np.where(above > 0, start, i + 1), np.where(above > 0, edits + 1, 0)
+        along = score[:-1] + np.where(equal, 1, -np.maximum(cost, extra))
+        better = along > here[1:]
+        here[1:] = np.where(better, along, here[1:])
+        since[1:] = np.where(better, np.where(score[:-1] > 0, start[:-1], i), since[1:])
+        changed[1:] = np.where(better, np.where(score[:-1] > 0, edits[:-1], 0) + ~equal, changed[1:])
+        # Words of the template that the text lacks.
+        ahead = here + skipped
+        running = np.maximum.accumulate(ahead)
+        source = np.maximum.accumulate(np.where(ahead == running, places, 0))
+        score = running - skipped
+        start, edits = since[source], changed[source] + (places - source)
+        at = int(score.argmax())
+        if score[at] > best[0]:
+            best = (int(score[at]), int(edits[at]), int(start[at]), i + 1)
+    return best
+
+
+def text_stretches(words: list[str]) -> list[tuple[int, int, str, int]]:
+    """(begin, end, name, edits) in words of the stretches of full texts."""
+    numbers, coded, seeds = vocabulary()
+    hits = [(i, s) for i in range(len(words) - SEED + 1) if (s := seeds.get(tuple(words[i : i + SEED])))]
+    regions: list[tuple[list[int], set[int]]] = []
+    for i, texts in hits:
+        low, high = max(0, i - AROUND), min(len(words), i + SEED + AROUND)
+        if regions and low <= regions[-1][0][1]:
+            regions[-1][0][1] = high
+            regions[-1][1].update(texts)
+        else:
+            regions.append(([low, high], set(texts)))
+    found = []
+    for (low, high), texts in regions:
+        known = [w in numbers for w in words[low:high]]
+        if sum(known) < LEAST:
+            continue
+        pending = [(low, high)]
+        while pending:
+            a, b = pending.pop()
+            if b - a < LEAST:
+                continue
+            # Texts that share too few words with the part, or no run, cannot be in it.
+            part, inside = set(), set(words[a:b])
+            for i in range(a, b - SEED + 1):
+                part.update(seeds.get(tuple(words[i : i + SEED]), ()))
+            tried = [k for k in sorted(part & texts) if sum(w in own_words(k) for w in words[a:b]) >= LEAST and inside]
+            options = []
+            for saved, k in savings(words[a:b], [full_texts()[k] for k in tried]) if tried else []:
+                template = full_texts()[tried[k]]
+                score, edits, begin, end = best_stretch(template, coded[tried[k]], words[a:b], numbers)
+                if score > 0 and score + 3 * edits >= LEAST:
+                    options.append((-score, len(template.words), -saved, template.name, edits, a + begin, a + end))
+            if options:
+                *_, name, edits, begin, end = min(options)
+                found.append((begin, end, name, edits))
+                pending += [(a, begin), (end, b)]
+    return sorted(found)
+
+
+@lru_cache(maxsize=None)
+def own_words(k: int) -> frozenset[str]:
+    return frozenset(full_texts()[k].words)
 
 
 def candidate_blocks(words: list[str]) -> list[tuple[int, int]]:
     """Word ranges around cues, merged, cut to bounded length with overlaps."""
     ranges: list[list[int]] = []
     for i, w in enumerate(words):
-        if any(c in w for c in CUES):
+        if any(c in w for c in WORD_CUES):
             begin, end = max(0, i - AROUND), min(len(words), i + AROUND + 1)
             if ranges and begin <= ranges[-1][1]:
                 ranges[-1][1] = end
             else:
                 ranges.append([begin, end])
-    step = BLOCK_WORDS - max(len(t[1]) for t in templates()) - 8
+    step = BLOCK_WORDS - max(len(t.words) for t in notices()) - 8
     return [(b, min(b + BLOCK_WORDS, end)) for begin, end in ranges for b in range(begin, max(begin + 1, end - (BLOCK_WORDS - step)), step)]
 
 
@@ -124,28 +321,40 @@ def licenses(text: str) -> list[tuple[int, int, str, int]]:
     """(begin, end, name, word edits) of the notices of a text."""
     spans = word_spans(text)
     words = [w for w, _, _ in spans]
-    found: dict[tuple[int, int], tuple[int, str]] = {}
+    out = text_stretches(words)
+    # The parts outside of full texts are searched for notices.
+    low = 0
+    for begin, end in [(a, b) for a, b, _, _ in out] + [(len(words), len(words))]:
+        out = out + [(low + a, low + b, name, edits) for a, b, name, edits in short_notices(words[low:begin])]
+        low = end
+    return [(spans[a][1], spans[b - 1][2], name, edits) for a, b, name, edits in sorted(out)]
+
+
+def short_notices(words: list[str]) -> list[tuple[int, int, str, int]]:
+    """(begin, end, name, edits) in words of the notices."""
+    found: dict[tuple[int, int], tuple[int, int, str]] = {}
     for begin, end in candidate_blocks(words):
         pending = [(begin, end)]
         while pending:
             low, high = pending.pop()
-            for saved, k in savings(words[low:high]) if high > low else []:
-                if saved <= 0:
-                    break
-                name, own, apart, _ = templates()[k]
-                edits, a, b, touched = differences(own, words[low:high])
-                if edits <= EDITS * len(own) and not touched & apart:
-                    key = (low + a, low + b)
-                    found[key] = min(found.get(key, (edits, name)), (edits, name))
-                    pending += [(low, low + a), (low + b, high)]
-                    break
-    # Overlapping blocks may both report a notice.
-    out, done = [], 0
-    for (a, b), (edits, name) in sorted(found.items()):
-        if a >= done:
-            out.append((spans[a][1], spans[b - 1][2], name, edits))
-            done = b
-    return out
+            inside = set(words[low:high])
+            tried = [t for t in notices() if t.names <= inside]
+            options = []
+            for saved, k in savings(words[low:high], tried) if tried else []:
+                own = tried[k]
+                edits, a, b = differences(own, words[low:high])
+                if edits <= EDITS * len(own.words):
+                    options.append((4 * edits - len(own.words), -saved, own.name, edits, low + a, low + b))
+            if options:
+                rank, _, name, edits, a, b = min(options)
+                found[a, b] = min(found.get((a, b), (rank, edits, name)), (rank, edits, name))
+                pending += [(low, a), (b, high)]
+    # Overlapping blocks may both report a notice, one of them cut short.
+    kept: list[tuple[int, int, str, int]] = []
+    for (a, b), (_, edits, name) in sorted(found.items(), key=lambda x: (x[1][0], x[0])):
+        if all(b <= c or a >= d for c, d, _, _ in kept):
+            kept.append((a, b, name, edits))
+    return sorted(kept)
 
 
 def suspects(texts: Texts) -> np.ndarray:

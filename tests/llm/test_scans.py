@@ -166,3 +166,67 @@ def test_notices_of_the_given_documents_equal_plain_patterns(spark):
     }
     got = {r.doc_id: r.n_notices for r in license_scan.report(spark.read.parquet(path)).collect()}
     assert got == expected and sum(expected.values()) > 0
+
+
+REWORDED = [
+    ("Licensed under the MIT License", "MIT"),
+    ("This program is licensed under the GNU General Public License, version 3", "GPL-3.0"),
+    ("it is released under the terms of the GNU GPL v3", "GPL-3.0"),
+    ("published under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    ("You may use it under the terms of the Apache 2.0 license", "Apache-2.0"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("All pictures are licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("The book is available under the Creative Commons Attribution-ShareAlike 4.0 licence", "CC-BY-SA-4.0"),
+    ("Redistribution and use in source and binary form, with or without modification, is permitted provided that the following terms are met", "BSD-2-Clause"),
+]
+
+
+@pytest.mark.parametrize("notice, name", REWORDED)
+def test_reworded_notices(notice, name, prose):
+    (found,) = license_scan.licenses(f"{prose(80, 1)}\n{notice}. {prose(80, 2)}")
+    assert found[2] == name
+
+
+def test_other_names_and_versions_are_no_notices(prose):
+    for text in ("Licensed under the Acme License", "Licensed under the Apache License, Version 3.0.", "licensed under the GNU General Public License, version 7", "Released in the MIT library"):
+        assert license_scan.licenses(f"{prose(40, 1)} {text}. {prose(40, 2)}") == []
+
+
+@pytest.mark.parametrize("template", [t for t in license_scan.full_texts() if len(t.words) < 700], ids=lambda t: t.name)
+def test_full_texts_with_edits(template, prose):
+    words = [w.upper() if i % 7 else w for i, w in enumerate(template.words)]
+    for i in range(10, len(words), 13):
+        if not template.named[i]:
+            words[i] = "zweifel"
+    text = f"{prose(60, 1)}\n{'  '.join(words)}\n{prose(60, 2)}"
+    found = license_scan.licenses(text)
+    begin, end, name, edits = max(found, key=lambda x: x[1] - x[0])
+    assert name == template.name and end - begin > 0.9 * len(" ".join(words)) and edits >= len(words) // 26
+
+
+def test_stretches_inside_a_full_text_and_two_clauses_apart_from_three(prose):
+    three = next(t for t in license_scan.full_texts() if t.name == "BSD-3-Clause")
+    two = next(t for t in license_scan.full_texts() if t.name == "BSD-2-Clause")
+    assert {n for _, _, n, _ in license_scan.licenses(" ".join(three.words))} == {"BSD-3-Clause"}
+    assert {n for _, _, n, _ in license_scan.licenses(" ".join(two.words))} == {"BSD-2-Clause"}
+    mpl = next(t for t in license_scan.full_texts() if t.name == "MPL-2.0")
+    (found,) = license_scan.licenses(f"{prose(50, 3)} {' '.join(mpl.words[700:800])} {prose(50, 4)}")
+    assert found[2:] == ("MPL-2.0", 0)
+
+
+def test_best_stretch_equals_brute_force():
+    template = license_scan.Template("x", "a b c gnu d e f g h i j k", False)
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(template.words))}
+    coded = license_scan.np.array([numbers[w] for w in template.words])
+    for block in ("z a b c gnu d e x f g h", "a b c d e f g h", "c gnu d q q e f g h i j k z", "h i gnu j k", "z z"):
+        words = block.split()
+        table = [[0] * (len(template.words) + 1)]
+        for b in words:
+            extra = license_scan.NEVER if b in license_scan.NAMES else 3
+            row = [0]
+            for j, w in enumerate(template.words):
+                cost = license_scan.NEVER if template.named[j] else 3
+                along = table[-1][j] + (1 if w == b else -max(cost, extra))
+                row.append(max(0, along, table[-1][j + 1] - extra, row[-1] - cost))
+            table.append(row)
+        assert license_scan.best_stretch(template, coded, words, numbers)[0] == max(map(max, table))
