@@ -1,8 +1,10 @@
 """Mixing sources to target weights by soft membership, DataFrame operations only.
 
 A labelled table gives the domain of some documents. From it a naive Bayes
-classifier over the presence of marker words (``MARKERS`` per domain, those that
-tell it from the others best) predicts every document's domain posteriors. The rates that the
+classifier over the presence of words predicts every document's domain posteriors.
+It knows every word of the labelled sample; words are runs of letters in lower
+case, in learning and scoring alike, so capitals, line breaks and signs do not
+matter. Words that the sample lacks say nothing. The rates that the
 documents are to be drawn with minimise the squared error between the expected
 token total of every domain, sum of rate x tokens x posterior, and its target
 share of the corpus; they are nonnegative and stay as near to one as the steps
@@ -13,7 +15,7 @@ rates themselves are never stored: each is a chain of the steps taken so far ove
 the document's own posteriors. So iterations do not lengthen
 lineage, no row is keyed or shuffled, and every pass reads one narrow table.
 
-Texts without words have no tokens, the prior as posterior, and rate one. Null
+Texts without known words have the prior as posterior, empty texts no tokens and rate one. Null
 labels, null domains and unknown ids teach nothing. With no labelled document,
 posteriors are the targets. Repeated rows count as often as they occur. A
 target of zero asks for none of that domain; targets are scaled to sum to one.
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from sitefeed.runtime import materialize
 
-#: Marker words per domain; labelled documents that they are chosen from.
-MARKERS, LABELLED = 4, 4000
+#: Labelled documents that are learnt from; weight, in words, of all domains' common distribution in each domain's.
+LABELLED, SMOOTHING = 4000, 100.0
 STEPS, TOLERANCE = 60, 1e-6
 
 
@@ -37,25 +39,81 @@ def _tokens(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
+def _word_hashes(text: str) -> Column:
+    """Hashes of the words of a text, each word once."""
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}]+")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _numbers(values, kind: str) -> Column:
+    """An array constant, handed over as one text; the optimizer folds it."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _places(hashes: list[int]) -> tuple[list[int], list[int]]:
+    """A perfect hash of distinct 64-bit numbers: shift of every bucket, number at every place (-1: none)."""
+    size = 2
+    while size * 4 < len(hashes) * 5:
+        size *= 2
+    buckets: list[list[int]] = [[] for _ in range(size)]
+    for h in hashes:
+        buckets[h & (size - 1)].append(h)
+    shifts, held = [0] * size, [-1] * size
+    for k in sorted(range(size), key=lambda k: -len(buckets[k])):
+        own = buckets[k]
+        if not own:
+            break
+        for shift in range(1 << 20):
+            at = {_place(h, shift, size) for h in own}
+            if len(at) == len(own) and all(held[p] == -1 for p in at):
+                break
+        else:
+            raise ValueError("no place for the words of a bucket")
+        shifts[k] = shift
+        for h in own:
+            held[_place(h, shift, size)] = h
+    return shifts, held
+
+
+def _place(h: int, shift: int, size: int) -> int:
+    h &= (1 << 64) - 1
+    return ((h >> 20) + shift * (h >> 42)) & (size - 1)
+
+
 class DomainModel:
-    """Log priors, and each marker word's log odds when present and when absent, per domain."""
-
-    def __init__(self, domains: list[str], words: list[str], prior: np.ndarray, share: np.ndarray):
-        """``share``: of a domain's documents (rows) those that hold a word (columns)."""
-        self.domains, self.words = domains, words
-        self.gain = np.log(share) - np.log1p(-share)
-        self.base = np.log(prior) + np.log1p(-share).sum(axis=1)
-
-    def scores(self, text: str) -> list[Column]:
-        """Unnormalised log posterior of each domain."""
-        held = [F.contains(F.coalesce(F.col(text), F.lit("")), F.lit(f" {w} ")).cast("double") for w in self.words]
-        out = []
-        for d in range(len(self.domains)):
-            total = F.lit(float(self.base[d]))
-            for w, present in enumerate(held):
-                total = total + present * F.lit(float(self.gain[d, w]))
-            out.append(total)
-        return out
+    """Log priors, and each known word's log probability per domain, looked up by a perfect hash."""
+
+    def __init__(self, domains: list[str], hashes: list[int], prior: np.ndarray, gain: np.ndarray):
+        """``gain``: log probability of a word (columns) in a domain (rows)."""
+        self.domains, self.base = domains, np.log(prior)
+        self.shifts, self.held = _places(hashes)
+        column = {h: i for i, h in enumerate(hashes)}
+        # The place after the last is that of unknown words.
+        self.gain = np.zeros((len(domains), len(self.held) + 1))
+        for place, h in enumerate(self.held):
+            if h in column:
+                self.gain[:, place] = gain[:, column[h]]
+
+    def scored(self, rows: DataFrame, text: str, names: list[str]) -> DataFrame:
+        """The rows with the unnormalised log posteriors of the domains as columns ``names``."""
+        size, keep = len(self.held), [f"`{c}`" for c in rows.columns]
+        shifts, held = _numbers(self.shifts, "bigint"), _numbers(self.held, "bigint")
+
+        def place(h: Column) -> Column:
+            shift = F.get(shifts, h.bitwiseAND(F.lit(size - 1)).cast("int"))
+            at = F.shiftrightunsigned(h, 20) + shift * F.shiftrightunsigned(h, 42)
+            return at.bitwiseAND(F.lit(size - 1)).cast("int")
+
+        rows = rows.select(*keep, _word_hashes(text).alias("_h"))
+        rows = rows.select(*keep, "_h", F.transform("_h", place).alias("_at"))
+        known = F.zip_with("_h", "_at", lambda h, at: F.when(F.get(held, at) == h, at).otherwise(size))
+        rows = rows.select(*keep, known.alias("_at"))
+
+        def total(d: int) -> Column:
+            gain = _numbers(self.gain[d].tolist(), "double")
+            return F.aggregate("_at", F.lit(float(self.base[d])), lambda s, at: s + F.get(gain, at))
+
+        return rows.select(*keep, *[total(d).alias(name) for d, name in enumerate(names)])
 
 
 def learn(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DomainModel:
@@ -70,39 +128,26 @@ def learn(documents: DataFrame, labelled: DataFrame, targets: dict[str, float])
     )
     chosen = materialize(chosen, "labelled")
     sample = documents.select("doc_id", "text").join(chosen, "doc_id")
-    words = sample.select("domain", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    inner = words.where(F.col("word").rlike(r"^\p{Ll}+$"))
-    seen = inner.groupBy("domain", "word").agg(F.count("*").alias("n"))
     size = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(size.values())
-    if not total:
+    if not sum(size.values()):
         share = np.array([max(targets[d], 1e-12) for d in domains])
         return DomainModel(domains, [], share / share.sum(), np.zeros((len(domains), 0)))
-    # Each word's share of documents inside a domain and outside of it.
-    wide = seen.groupBy("word").agg(
-        *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
-    )
-    wide = materialize(wide, "marker-counts")
-    n_all = F.lit(0)
-    for i in range(len(domains)):
-        n_all = n_all + F.col(f"n{i}")
-    picked: dict[str, list[int]] = {}
-    for i, d in enumerate(domains):
-        n, other = size.get(d, 0), total - size.get(d, 0)
-        gain = (F.col(f"n{i}") / max(n, 1)) - ((n_all - F.col(f"n{i}")) / max(other, 1))
-        for r in wide.orderBy(gain.desc(), "word").limit(MARKERS).collect():
-            picked[r.word] = [r[f"n{k}"] for k in range(len(domains))]
-    names = sorted(picked)
+    # Documents of each domain that hold a word.
+    words = sample.select("domain", F.explode(_word_hashes("text")).alias("h"))
+    counts = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
+    seen = words.groupBy("h").agg(*counts).toPandas().sort_values("h")
+    count = seen[[f"n{i}" for i in range(len(domains))]].to_numpy(float).T
     held = np.array([size.get(d, 0) for d in domains], float)
-    count = np.array([picked[w] for w in names], float).T.reshape(len(domains), len(names))
-    return DomainModel(domains, names, (held + 0.5) / (held + 0.5).sum(), (count + 0.5) / (held[:, None] + 1))
+    common = count.sum(axis=0) / max(count.sum(), 1.0)
+    share = (count + SMOOTHING * common) / (count.sum(axis=1, keepdims=True) + SMOOTHING)
+    return DomainModel(domains, [int(h) for h in seen["h"]], (held + 0.5) / (held + 0.5).sum(), np.log(share))
 
 
 def memberships(documents: DataFrame, model: DomainModel, *keep: str) -> DataFrame:
     """The columns ``keep`` plus _tokens and one posterior _p0, _p1, ... per domain."""
     names = [f"_s{i}" for i in range(len(model.domains))]
-    scored = [c.alias(n) for c, n in zip(model.scores("text"), names, strict=True)]
-    rows = documents.select(*keep, _tokens("text").alias("_tokens"), *scored)
+    rows = documents.select(*keep, F.col("text").alias("_text"), _tokens("text").alias("_tokens"))
+    rows = model.scored(rows, "_text", names)
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     rows = rows.select(*keep, "_tokens", *[F.exp(F.col(n) - top).alias(n) for n in names])
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))

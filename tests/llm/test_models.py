@@ -232,3 +232,29 @@ def test_mixing_of_a_target_out_of_reach_and_of_nothing(spark, documents, prose)
     assert all(r.p_en == pytest.approx(0.75) and r.rate == pytest.approx(1) for r in unlabelled)
     clashing = documents(rows).selectExpr("*", "1 AS rate", "'x' AS domain")
     assert mixing.with_rates(clashing, labels, {"en": 1.0, "de": 1.0}).columns == ["doc_id", "text", "lang", "score", "n", "key", "domain", "rate"]
+
+
+def test_mixing_sees_capitals_line_breaks_and_tables(spark, documents):
+    said = {
+        "de": "der hund und die katze sind nicht im haus aber auf dem dach",
+        "en": "the dog and the cat are not in the house but on the roof",
+        "fr": "le chien et le chat ne sont pas dans la maison mais sur le toit",
+    }
+    rows = [(i, said[d]) for i, d in enumerate(sorted(said) * 20)]
+    labels = spark.createDataFrame([(i, d) for i, d in enumerate(sorted(said) * 20)], "doc_id bigint, domain string")
+    forms = [str.upper, lambda t: t.replace(" ", "\n"), lambda t: "| " + t.replace(" ", "!! |\t") + ",", lambda t: " ".join(t.split()[-2:])]
+    tried = [(d, f(t)) for d, t in said.items() for f in forms]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(tried)] + [(200, "12 zzz 7")]
+    got = {r.doc_id: r for r in mixing.rates(documents(rows), labels, {d: 1.0 for d in said}).collect()}
+    for i, (d, text) in enumerate(tried):
+        assert got[100 + i][f"p_{d}"] > 0.9, text
+    assert got[200].p_de == pytest.approx(1 / 3)
+
+
+def test_places_of_words_are_their_own():
+    import random
+
+    numbers = sorted({random.Random(i).getrandbits(64) - 2**63 for i in range(3000)})
+    shifts, held = mixing._places(numbers)
+    size = len(held)
+    assert all(held[mixing._place(h, shifts[h & (size - 1)], size)] == h for h in numbers)
