@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from sitefeed.llm import byte_cnn, secret_scan
-from tests.llm.test_dedup import brute_jaccard
+from tests.llm.test_pairs import brute_jaccard
 from tests.llm.test_scans import brute_contamination, plain_base
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
