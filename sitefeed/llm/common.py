@@ -75,3 +75,16 @@ def per_batch(frame: DataFrame, schema: str, work, *columns: str) -> DataFrame:
                     yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
 
     return frame.mapInArrow(run, schema)
+
+
+def per_task(frame: DataFrame, schema: str, start, work) -> DataFrame:
+    """``work(batch, kept)`` maps Arrow batches; ``kept`` is what ``start()`` gives each task, for all its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = start()
+        for batch in batches:
+            if batch.num_rows:
+                for out in work(batch, kept):
+                    yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+
+    return frame.mapInArrow(run, schema)

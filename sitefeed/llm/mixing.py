@@ -2,9 +2,14 @@
 
 A labelled table gives the domain of some documents. From it a naive Bayes
 classifier over the presence of words predicts every document's domain posteriors.
-It knows every word of the labelled sample; words are runs of letters in lower
-case, in learning and scoring alike, so capitals, line breaks and signs do not
-matter. Words that the sample lacks say nothing. The rates that the
+Words are runs of letters in lower case, in learning and scoring alike, so capitals,
+line breaks and signs do not matter. They are hashed into ``FEATURES`` numbers; the
+model has that size whatever the labelled texts hold, and its counts are summed in
+Spark. Numbers that the labelled sample lacks say nothing. The words of one text are
+not independent, so a text counts as a bounded number of words of average evidence:
+m known words weigh m E / (m + E). E is the one of ``EVIDENCE`` under which each half
+of the sample, judged by the other half, is predicted with the least log loss. The
+rates that the
 documents are to be drawn with minimise the squared error between the expected
 token total of every domain, sum of rate x tokens x posterior, and its target
 share of the corpus; they are nonnegative and stay as near to one as the steps
@@ -15,14 +20,18 @@ rates themselves are never stored: each is a chain of the steps taken so far ove
 the document's own posteriors. So iterations do not lengthen
 lineage, no row is keyed or shuffled, and every pass reads one narrow table.
 
-Texts without known words have the prior as posterior, empty texts no tokens and rate one. Null
+Texts without known words have the prior as posterior, empty texts no tokens and rate one;
+very long texts are read whole, every word once. Null
 labels, null domains and unknown ids teach nothing. With no labelled document,
 posteriors are the targets. Repeated rows count as often as they occur. A
 target of zero asks for none of that domain; targets are scaled to sum to one.
+Empty tables give no rows. Names of further columns may be any.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +40,13 @@ from sitefeed.runtime import materialize
 
 #: Labelled documents that are learnt from; weight, in words, of all domains' common distribution in each domain's.
 LABELLED, SMOOTHING = 4000, 100.0
+#: Numbers that words are hashed into, a power of two.
+FEATURES = 1 << 14
+#: Words of evidence that a text of any length may at most come to; the sample decides.
+EVIDENCE = (1.0, 2.0, 4.0, 8.0, 16.0)
 STEPS, TOLERANCE = 60, 1e-6
+#: Passes without a gain of a thousandth after which the least error is taken as found.
+PATIENCE = 6
 
 
 def _tokens(text: str) -> Column:
@@ -39,81 +54,78 @@ def _tokens(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
-def _word_hashes(text: str) -> Column:
-    """Hashes of the words of a text, each word once."""
+def _features(text: str) -> Column:
+    """The numbers of the words of a text, each number once."""
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}]+")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def _numbers(values, kind: str) -> Column:
-    """An array constant, handed over as one text; the optimizer folds it."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-
-
-def _places(hashes: list[int]) -> tuple[list[int], list[int]]:
-    """A perfect hash of distinct 64-bit numbers: shift of every bucket, number at every place (-1: none)."""
-    size = 2
-    while size * 4 < len(hashes) * 5:
-        size *= 2
-    buckets: list[list[int]] = [[] for _ in range(size)]
-    for h in hashes:
-        buckets[h & (size - 1)].append(h)
-    shifts, held = [0] * size, [-1] * size
-    for k in sorted(range(size), key=lambda k: -len(buckets[k])):
-        own = buckets[k]
-        if not own:
-            break
-        for shift in range(1 << 20):
-            at = {_place(h, shift, size) for h in own}
-            if len(at) == len(own) and all(held[p] == -1 for p in at):
-                break
-        else:
-            raise ValueError("no place for the words of a bucket")
-        shifts[k] = shift
-        for h in own:
-            held[_place(h, shift, size)] = h
-    return shifts, held
+    words = F.filter(words, lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FEATURES - 1)).cast("int")))
 
 
-def _place(h: int, shift: int, size: int) -> int:
-    h &= (1 << 64) - 1
-    return ((h >> 20) + shift * (h >> 42)) & (size - 1)
+def _numbers(values) -> Column:
+    """An array constant of doubles, handed over as one text; the optimizer folds it."""
+    return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
+@dataclass
 class DomainModel:
-    """Log priors, and each known word's log probability per domain, looked up by a perfect hash."""
-
-    def __init__(self, domains: list[str], hashes: list[int], prior: np.ndarray, gain: np.ndarray):
-        """``gain``: log probability of a word (columns) in a domain (rows)."""
-        self.domains, self.base = domains, np.log(prior)
-        self.shifts, self.held = _places(hashes)
-        column = {h: i for i, h in enumerate(hashes)}
-        # The place after the last is that of unknown words.
-        self.gain = np.zeros((len(domains), len(self.held) + 1))
-        for place, h in enumerate(self.held):
-            if h in column:
-                self.gain[:, place] = gain[:, column[h]]
+    """Log prior of every domain, and what a feature adds to it: domains x FEATURES, zero for unknown ones.
 
-    def scored(self, rows: DataFrame, text: str, names: list[str]) -> DataFrame:
-        """The rows with the unnormalised log posteriors of the domains as columns ``names``."""
-        size, keep = len(self.held), [f"`{c}`" for c in rows.columns]
-        shifts, held = _numbers(self.shifts, "bigint"), _numbers(self.held, "bigint")
+    ``known`` marks the features of the sample (a one or a zero each).
+    """
 
-        def place(h: Column) -> Column:
-            shift = F.get(shifts, h.bitwiseAND(F.lit(size - 1)).cast("int"))
-            at = F.shiftrightunsigned(h, 20) + shift * F.shiftrightunsigned(h, 42)
-            return at.bitwiseAND(F.lit(size - 1)).cast("int")
+    domains: list[str]
+    base: np.ndarray
+    gain: np.ndarray
+    known: np.ndarray
+    evidence: float = EVIDENCE[-1]
 
-        rows = rows.select(*keep, _word_hashes(text).alias("_h"))
-        rows = rows.select(*keep, "_h", F.transform("_h", place).alias("_at"))
-        known = F.zip_with("_h", "_at", lambda h, at: F.when(F.get(held, at) == h, at).otherwise(size))
-        rows = rows.select(*keep, known.alias("_at"))
+    def evidences(self, rows: DataFrame, text: str, names: list[str], count: str) -> DataFrame:
+        """The rows with the mean gain of the text's known features per domain, and their number."""
+        keep = [f"`{c}`" for c in rows.columns]
+        rows = rows.select(*keep, _features(text).alias("_f"))
 
-        def total(d: int) -> Column:
-            gain = _numbers(self.gain[d].tolist(), "double")
-            return F.aggregate("_at", F.lit(float(self.base[d])), lambda s, at: s + F.get(gain, at))
+        def total(values: np.ndarray) -> Column:
+            table = _numbers(values)
+            return F.aggregate("_f", F.lit(0.0), lambda s, at: s + F.get(table, at))
 
-        return rows.select(*keep, *[total(d).alias(name) for d, name in enumerate(names)])
+        sums = [total(self.gain[d]).alias(name) for d, name in enumerate(names)]
+        rows = rows.select(*keep, *sums, total(self.known).alias(count))
+        each = [(F.col(n) / F.greatest(F.col(count), F.lit(1.0))).alias(n) for n in names]
+        return rows.select(*keep, *each, count)
+
+    def scored(self, rows: DataFrame, text: str, names: list[str]) -> DataFrame:
+        """The rows with the unnormalised log posteriors of the domains as columns ``names``."""
+        keep, words = [f"`{c}`" for c in rows.columns], F.col("_known")
+        rows = self.evidences(rows, text, names, "_known")
+        weight = words * self.evidence / (words + self.evidence)
+        return rows.select(*keep, *[(F.lit(float(b)) + weight * F.col(n)).alias(n) for b, n in zip(self.base, names, strict=True)])
+
+
+def _model(domains: list[str], held: np.ndarray, count: np.ndarray) -> DomainModel:
+    """From documents per domain, and documents of each domain that hold a feature."""
+    total = count.sum(axis=0)
+    common = total / max(total.sum(), 1.0)
+    share = (count + SMOOTHING * common) / (count.sum(axis=1, keepdims=True) + SMOOTHING)
+    known = (total > 0).astype(float)
+    logs = np.log(np.where(known > 0, share, 1.0))
+    prior = (held + 0.5) / (held + 0.5).sum()
+    # Only differences between domains matter; small numbers keep the constants short.
+    return DomainModel(domains, np.log(prior), logs - logs.mean(axis=0), known)
+
+
+def _best_evidence(seen: list[tuple[DomainModel, list]]) -> float:
+    """The bound with the least log loss; ``seen``: models, and rows (domain number, words, mean gains) to predict."""
+    losses = []
+    for bound in EVIDENCE:
+        loss = 0.0
+        for model, rows in seen:
+            if rows:
+                own, words, gains = (np.array(x) for x in zip(*rows, strict=True))
+                z = model.base + (words * bound / (words + bound))[:, None] * gains
+                z -= z.max(axis=1, keepdims=True)
+                loss += float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(own)), own]).sum())
+        losses.append(loss)
+    return EVIDENCE[int(np.argmin(losses))]
 
 
 def learn(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DomainModel:
@@ -127,20 +139,29 @@ def learn(documents: DataFrame, labelled: DataFrame, targets: dict[str, float])
         .limit(LABELLED)
     )
     chosen = materialize(chosen, "labelled")
-    sample = documents.select("doc_id", "text").join(chosen, "doc_id")
-    size = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if not sum(size.values()):
+    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int").alias("half")
+    number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
+    sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", number.alias("own"), half)
+    held = np.zeros((2, len(domains)))
+    for r in sample.groupBy("half", "own").agg(F.count("*").alias("n")).collect():
+        held[r.half, r.own] = r.n
+    if not held.sum():
         share = np.array([max(targets[d], 1e-12) for d in domains])
-        return DomainModel(domains, [], share / share.sum(), np.zeros((len(domains), 0)))
-    # Documents of each domain that hold a word.
-    words = sample.select("domain", F.explode(_word_hashes("text")).alias("h"))
-    counts = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
-    seen = words.groupBy("h").agg(*counts).toPandas().sort_values("h")
-    count = seen[[f"n{i}" for i in range(len(domains))]].to_numpy(float).T
-    held = np.array([size.get(d, 0) for d in domains], float)
-    common = count.sum(axis=0) / max(count.sum(), 1.0)
-    share = (count + SMOOTHING * common) / (count.sum(axis=1, keepdims=True) + SMOOTHING)
-    return DomainModel(domains, [int(h) for h in seen["h"]], (held + 0.5) / (held + 0.5).sum(), np.log(share))
+        nothing = np.zeros((len(domains), FEATURES))
+        return DomainModel(domains, np.log(share / share.sum()), nothing, nothing[0])
+    # Documents of each half and domain that hold a feature: at most 2 x domains x FEATURES rows.
+    count = np.zeros((2, len(domains), FEATURES))
+    found = sample.select("half", "own", F.explode(_features("text")).alias("f")).groupBy("half", "own", "f").agg(F.count("*").alias("n"))
+    rows = found.toPandas()
+    count[rows["half"], rows["own"], rows["f"]] = rows["n"]
+    names, seen = [f"_s{i}" for i in range(len(domains))], []
+    for part in (0, 1):
+        other = _model(domains, held[1 - part], count[1 - part])
+        judged = other.evidences(sample.where(F.col("half") == part).select("own", "text"), "text", names, "_known")
+        seen.append((other, [(r.own, r["_known"], [r[n] for n in names]) for r in judged.drop("text").collect()]))
+    model = _model(domains, held.sum(axis=0), count.sum(axis=0))
+    model.evidence = _best_evidence(seen)
+    return model
 
 
 def memberships(documents: DataFrame, model: DomainModel, *keep: str) -> DataFrame:
@@ -184,7 +205,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float]) ->
     length = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-300)
     steps: list[list[float]] = []
     best: tuple[float, int, list[float]] = (np.inf, 0, [])
-    last = None
+    last, errors = None, []
     for _ in range(STEPS):
         sums = members.select("*", _rate(steps).alias("_r"), _rate(steps[:-1]).alias("_before")).agg(
             *[F.sum(F.col("_r") * F.col("_x") * F.col(f"_p{d}")).alias(f"t{d}") for d in range(k)],
@@ -195,7 +216,8 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float]) ->
         error = float(np.abs(residual).sum() / goal.sum())
         if error < best[0]:
             best = (error, len(steps), totals.tolist())
-        if error < TOLERANCE:
+        errors.append(error)
+        if error < TOLERANCE or len(errors) > PATIENCE and best[0] > 0.999 * min(errors[:-PATIENCE]):
             break
         if last is not None:
             against = float(((residual - last) ** 2).sum())

@@ -12,12 +12,15 @@ from sitefeed.llm import (
     byte_cnn,
     decontamination,
     embedding_dedup,
+    extendible_hash,
+    lexical_search,
     license_scan,
     mixing,
     ngram_jaccard,
     secret_scan,
     substring_dedup,
     toxicity,
+    vector_codes,
 )
 from sitefeed.llm.common import table
 
@@ -74,10 +77,23 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_hash.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard, op2_toxicity, op3_source_mixing, op4_backoff_lm, op5_embedding_dedup,
         op6_decontamination, op7_secret_scan, op8_substring_dedup, op9_license_scan, op10_byte_cnn,
+        op11_vector_codes, op12_lexical_search, op13_exact_dedup,
     )
     return {q.__name__: q for q in every}
 
@@ -87,4 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard": ngram_jaccard.SQL,
         "op5_embedding_dedup": embedding_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op12_lexical_search": lexical_search.SQL,
+        "op13_exact_dedup": extendible_hash.SQL,
     }
