@@ -15,7 +15,7 @@ from sitefeed.operators.article_list import article_index, select_article
 from sitefeed.operators.crawl import MAX_PAGES, crawl, walk
 from sitefeed.operators.feeds import feed_items, feed_lines
 from sitefeed.operators.links import in_site_links, page_hrefs, page_images, page_links
-from sitefeed.operators.main_content import block_table, main_spans, score_blocks
+from sitefeed.operators.main_content import block_table, main_spans, score_blocks, with_main
 from sitefeed.operators.positions import with_positions
 from sitefeed.operators.report import content_report, crawl_report, site_summary
 from sitefeed.plans.site_feeds import site_feeds
@@ -31,7 +31,6 @@ except ModuleNotFoundError as missing:
         raise
     corpus_pipeline = corpus_queries = None
 
-BODY = "regexp_extract(html, '(?s)<article>.*?</article>', 0)"
 WALK_LIMIT = 20
 
 
@@ -61,15 +60,19 @@ def _domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf_dir: str, mode: str = "v2", pages: DataFrame | None = None) -> DataFrame:
-    """Articles of all pages, content = the article element, in page order per domain."""
+    """Articles of all pages, content = the scored main content, in page order per domain."""
     pages = (_pages(spark, sf_dir) if pages is None else pages).select(
         F.expr(urls.registrable_domain("url")).alias("site_id"),
         F.col("page_id").alias("crawl_rank"),
         "url",
         "html",
-        F.expr(BODY).alias("main"),
     )
-    return article_ops.page_articles(pages, mode)
+    return article_ops.page_articles(with_main(pages), mode)
+
+
+def _contents(pages: DataFrame) -> DataFrame:
+    """The pages with their main content, or else all of it, as ``content``."""
+    return with_main(pages).withColumn("content", F.coalesce("main", "html")).drop("main")
 
 
 # Queries --------------------------------------------------------------------
@@ -144,8 +147,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = F.expr(html.fix_image_urls(BODY, "url"))
-    return _image_pages(spark, sf_dir).select("page_id", fixed.alias("content"))
+    fixed = F.expr(html.fix_image_urls("content", "url"))
+    return _contents(_image_pages(spark, sf_dir)).select("page_id", fixed.alias("content"))
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +200,7 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose own text was too short, with the text of the fallback."""
-    texts = with_computed(_pages(spark, sf_dir), "text", html.html_to_text(BODY))
+    texts = with_computed(_contents(_pages(spark, sf_dir)), "text", html.html_to_text("content"))
     thin = texts.where(article_ops.is_short("text"))
     return thin.select(
         "page_id",
@@ -213,8 +216,7 @@ def extracted_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def heading(page_urls, page_html):
         return page_html.str.extract("(<h1>.*?</h1>)", expand=False) + "<p>" + page_urls + "</p>"
 
-    pages = _pages(spark, sf_dir).withColumn("main", F.expr(BODY))
-    return article_ops.page_articles(pages, "v2", heading).select("page_id", "content")
+    return article_ops.page_articles(with_main(_pages(spark, sf_dir)), "v2", heading).select("page_id", "content")
 
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +278,8 @@ def site_counts_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_in_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both image repairs on pages that also name the image inside a script and a comment."""
     quoted = """<script>var s = "<img src='p.png'>";</script><!-- <img src="q.png"> -->"""
-    html_col = F.concat(F.lit(quoted), F.expr(BODY))
-    pages = _image_pages(spark, sf_dir).select("page_id", "url", html_col.alias("html"))
+    html_col = F.concat(F.lit(quoted), F.col("content"))
+    pages = _contents(_image_pages(spark, sf_dir)).select("page_id", "url", html_col.alias("html"))
     return pages.select(
         "page_id",
         F.expr(html.fix_image_urls("html", "url")).alias("content"),
@@ -306,6 +308,21 @@ def near_unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of a source and language that no lossless bound of the similarity rules out."""
+    return near_dedup.near_candidates(_documents(spark, sf_dir), ["source", "lang"], "doc_id", "text")
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of documents of a source and language, with their ratio."""
+    return near_dedup.near_pairs(_documents(spark, sf_dir), ["source", "lang"], "doc_id", "text")
+
+
+def near_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of documents of any source and language; MinHash may miss some."""
+    return near_dedup.near_pairs_lsh(_documents(spark, sf_dir), "doc_id", "text")
+
+
 def near_unique_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(_articles(spark, sf_dir, "v1"), "articles")
     return near_dedup.deduplicate_similar(found).select("site_id", "crawl_rank", "title")
@@ -451,6 +468,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         text_fingerprint, short_pages, extracted_short_pages, page_articles,
         page_articles_v1, content_sources, unique_articles, duplicate_groups, unique_documents,
         compact_documents, character_bags, near_unique_documents, near_unique_articles,
+        near_candidates, near_pairs, near_pairs_lsh,
         link_reach, crawl_visits, deep_crawl, deep_crawl_limited, visit_report, crawl_limit, articles_by_site, article_list,
         unique_documents_null_group, repeated_pages, site_counts_by_rules, image_in_script,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
@@ -474,7 +492,6 @@ _NORM = "rtrim(regexp_replace({0}, '[?#].*$', ''), '/')"
 _HOST = r"regexp_extract({0}, '^https?://([^/?#:]*)', 1)"
 _ROOT = r"regexp_extract({0}, '^https?://[^/?#]*')"
 _DOMAIN = r"regexp_extract({0}, '^https?://(?:[^/?#:]*\.)?([^./?#:]+\.[^./?#:]+)', 1)"
-_ARTICLE = "regexp_extract({0}, '(?s)<article>.*?</article>')"
 
 
 def _decoded(x: str) -> str:
@@ -554,9 +571,46 @@ _DEEP = (
     "AS ok_before FROM (SELECT walked.*, CASE WHEN snap.url IS NULL THEN 'missing' ELSE 'ok' END AS status "
     "FROM walked LEFT JOIN snap USING (url)) WINDOW q AS (ORDER BY depth, nth))"
 )
+
+
+def _length(nodes: str) -> str:
+    return f"CAST(coalesce(list_sum(list_transform({nodes}, lambda t: length(t))), 0) AS BIGINT)"
+
+
+def _main_sql(pages: str) -> str:
+    """Scores of the three elements that paragraphs of this markup speak for, and the page's main content.
+
+    By element kind, not by walking the tree: every page has one article with headings and
+    paragraphs, beside one note and one menu, in a body. A paragraph ends at its end tag or the next one's start.
+    """
+    commas = f"coalesce(list_sum(list_transform({_nodes('x')}, lambda t: length(t) - length(replace(t, ',', '')))), 0)"
+    points = f"CASE WHEN {_length(_nodes('x'))} >= 25 THEN 1 + {commas} + least({_length(_nodes('x'))} // 100, 3) ELSE 0 END"
+    linked = r"list_transform(regexp_extract_all(html, '(?s)<a\s[^>]*>(.*?)</a>', 1), lambda y: " + _length(_nodes("y")) + ")"
+    return (
+        f"source AS ({pages}), "
+        "cut AS (SELECT *, regexp_extract(html, '(?s)<article>.*?</article>') AS article, "
+        r"regexp_extract(html, '(?s)<body>.*?(?:</body>|\z)') AS body, regexp_extract(html, '(?s)<html.*\z') AS root, "
+        "len(regexp_extract_all(html, '<li>')) AS n_li FROM source), "
+        "paragraphs AS (SELECT page_id, sum(" + points + ") AS given FROM (SELECT page_id, "
+        r"regexp_extract(unnest(string_split(article, '<p>')[2:]), '(?s)^(.*?)(?:</p>|</article>|\z)', 1) AS x FROM cut) GROUP BY 1), "
+        "notes AS (SELECT page_id, " + points + " AS given FROM (SELECT page_id, "
+        "regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS x FROM cut)), "
+        f"lengths AS (SELECT page_id, {_length(_nodes('body'))} AS in_body, {_length(_nodes('html'))} AS in_page, "
+        f"CAST(coalesce(list_sum({linked}), 0) AS BIGINT) AS in_links FROM cut), "
+        "given AS (SELECT page_id, n_li, coalesce(p.given, 0) AS p, n.given AS n, in_body, in_page, in_links "
+        "FROM cut LEFT JOIN paragraphs p USING (page_id) JOIN notes n USING (page_id) JOIN lengths USING (page_id)), "
+        "scores AS (SELECT page_id, 0 AS block_id, 'html' AS tag, n / 2e0 * (1 - in_links::DOUBLE / greatest(in_page, 1)) AS points FROM given WHERE n > 0 "
+        "UNION ALL SELECT page_id, 1, 'body', (n + p / 2e0) * (1 - in_links::DOUBLE / greatest(in_body, 1)) FROM given WHERE n + p > 0 "
+        "UNION ALL SELECT page_id, 5 + n_li, 'article', p::DOUBLE FROM given WHERE p > 0), "
+        "best AS (SELECT page_id, tag FROM scores QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, block_id) = 1), "
+        "picked AS (SELECT cut.*, CASE tag WHEN 'article' THEN article WHEN 'body' THEN body WHEN 'html' THEN root END AS block "
+        "FROM cut LEFT JOIN best USING (page_id)), "
+        "body AS (SELECT page_id, url, html, block, coalesce('<div>' || block || '</div>', html) AS art FROM picked)"
+    )
+
+
 _ART = (
-    "body AS (SELECT page_id, url, html, "
-    f"{_ARTICLE.format('html')} AS art FROM pages), "
+    f"{_main_sql('SELECT page_id, url, html FROM pages')}, "
     f"texted AS (SELECT *, {_text('art')} AS art_text FROM body), "
     f"art AS (SELECT {_DOMAIN.format('url')} AS site_id, page_id AS crawl_rank, "
     f"{_title('html')} || ' (' || url || ')' AS title, url, "
@@ -596,6 +650,33 @@ _VISITS = (
 )
 
 
+def _near_candidates_sql() -> str:
+    """All pairs of a group by brute force, with the bounds of lengths, character bags and shared grams."""
+    choices = near_dedup.gram_bounds_sql("len", "rare")
+    # A choice is taken if a quarter of its grams must be shared; the last one if any must.
+    fit = {(k, step): f"{held} >= greatest(1, ceil((len - {k}) // {step} / 4.0 + 0.25))" for k, step, held in choices}
+    fit[choices[-1][:2]] = f"{choices[-1][2]} >= 1"
+    chosen = "CASE " + " ".join(f"WHEN {fit[k, step]} THEN {{'k': {k}, 'step': {step}, 'shared': {held}}}" for k, step, held in choices) + " END"
+    return (
+        "WITH c AS (SELECT source, lang, doc_id, replace(replace(text, chr(10), ''), ' ', '') AS txt FROM documents), "
+        "t AS (SELECT *, length(txt) AS len FROM c QUALIFY row_number() OVER (PARTITION BY source, lang, txt ORDER BY doc_id) = 1), "
+        "bag AS (SELECT source, lang, doc_id, ch, count(*) AS n FROM (SELECT source, lang, doc_id, unnest(string_split(txt, '')) AS ch FROM t) "
+        "WHERE ch <> '' GROUP BY ALL), "
+        "rare AS (SELECT source, lang, doc_id, sum(CASE WHEN n <= len // 100 + 1 THEN n ELSE 0 END) AS rare "
+        "FROM bag JOIN t USING (source, lang, doc_id) GROUP BY ALL), "
+        f"b AS (SELECT source, lang, doc_id, txt, len, {chosen} AS g FROM t JOIN rare USING (source, lang, doc_id)), "
+        "near AS (SELECT a.source, a.lang, a.doc_id AS id_a, b.doc_id AS id_b, a.txt AS txt_a, b.txt AS txt_b, a.len + b.len AS total, b.g "
+        "FROM b a JOIN b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id "
+        "AND 20 * least(a.len, b.len) > 9 * (a.len + b.len) WHERE b.g IS NOT NULL), "
+        "bagged AS (SELECT near.* FROM near JOIN (SELECT x.source, x.lang, x.doc_id AS id_a, y.doc_id AS id_b, sum(least(x.n, y.n)) AS held "
+        "FROM bag x JOIN bag y ON x.source = y.source AND x.lang = y.lang AND x.ch = y.ch AND x.doc_id < y.doc_id GROUP BY ALL) "
+        "USING (source, lang, id_a, id_b) WHERE 20 * held > 9 * total), "
+        "counted AS (SELECT source, lang, id_a, id_b, g.shared AS shared, CAST(len(list_filter(list_transform("
+        "range(0, length(txt_b) - g.k + 1, g.step), lambda i: substring(txt_b, i + 1, g.k)), lambda x: contains(txt_a, x))) AS INTEGER) AS n_shared FROM bagged) "
+        "SELECT source, lang, id_a, id_b, n_shared FROM counted WHERE n_shared >= shared"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     norm, domain, host = _NORM.format("url"), _DOMAIN.format("url"), _HOST.format("url")
     heads = "replace(html, 'h1>', 'h5>')"
@@ -615,6 +696,13 @@ def oracle_sql() -> dict[str, str]:
         "'<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" src=\"' || "
         f"{_ROOT.format('url')} || '/img/pic.png?w=1\" style=\"max-width:100%;height:auto;\"/>'"
     )
+    styled = "'<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" style=\"max-width:100%;height:auto;margin:5px 0;\"/>'"
+
+    def replaced(image: str) -> str:
+        """The content with its images rewritten; a whole page's head holds none but a quoted one."""
+        head = "regexp_extract(art, '(?s)^.*?</head>')"
+        return f"{head} || replace(substr(art, length({head}) + 1), '{_IMG.removesuffix('</p>')}', {image})"
+
     found = {
         "url_normalize": f"SELECT page_id, {norm} AS url_norm FROM pages",
         "url_collisions": f"SELECT {norm} AS url_norm, count(*) AS n, min(page_id) AS first_page "
@@ -632,8 +720,7 @@ def oracle_sql() -> dict[str, str]:
         f"{_ROOT.format('url')} || '/img/pic.png?w=1' AS src_abs FROM (SELECT url, "
         f"len(regexp_extract_all(regexp_replace(html, '(?is){_OPAQUE}', '', 'g'), '<img ')) AS n "
         f"FROM ({image_pages})) WHERE n > 0",
-        "fixed_images": f"SELECT page_id, replace({_ARTICLE.format('html')}, "
-        f"'{_IMG.removesuffix('</p>')}', {fixed}) AS content FROM ({image_pages})",
+        "fixed_images": f"WITH {_main_sql(image_pages)} SELECT page_id, {replaced(fixed)} AS content FROM body",
         "page_title": f"SELECT page_id, {_title('html')} AS title, "
         f"{_title('html')} || ' (' || url || ')' AS decorated FROM pages",
         "title_cascade": f"SELECT page_id, variant, {_title('html')} AS title, "
@@ -664,6 +751,7 @@ def oracle_sql() -> dict[str, str]:
         "character_bags": "SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split("
         "replace(replace(text, chr(10), ''), ' ', ''), '')) AS ch FROM documents) "
         "WHERE ch <> '' GROUP BY 1, 2",
+        "near_candidates": _near_candidates_sql(),
         # A row enters once: the recursion ends when no new node is reached.
         "link_reach": f"WITH RECURSIVE {_HREFS}, hops AS (SELECT 'page ' || page_id AS src, "
         "'label ' || href AS dst FROM links_raw UNION SELECT 'label ' || href, 'page ' || page_id "
@@ -698,10 +786,13 @@ def oracle_sql() -> dict[str, str]:
         "repeated_pages": "SELECT page_id, url, CAST(200 AS INTEGER) AS status, length(html) AS n_chars FROM pages",
         "site_counts_by_rules": f"SELECT {domain} AS domain, count(*) AS n_pages, "
         f"count(DISTINCT {host}) AS n_hosts FROM pages GROUP BY 1",
-        "image_in_script": f"SELECT page_id, {quoted} || replace({_ARTICLE.format('html')}, "
-        f"'{_IMG.removesuffix('</p>')}', {fixed}) AS content, {quoted} || replace({_ARTICLE.format('html')}, "
-        f"'{_IMG.removesuffix('</p>')}', '<img alt=\"a &amp; b\" data-src=\"/img/pic.png?w=1\" "
-        f"style=\"max-width:100%;height:auto;margin:5px 0;\"/>') AS content_v1 FROM ({image_pages})",
+        "image_in_script": f"WITH {_main_sql(image_pages)} SELECT page_id, {quoted} || {replaced(fixed)} AS content, "
+        f"{quoted} || {replaced(styled)} AS content_v1 FROM body",
+        "block_scores": f"WITH {_main_sql('SELECT page_id, url, html FROM pages')} SELECT page_id, block_id, tag, points FROM scores",
+        "main_content": f"WITH {_main_sql('SELECT page_id, url, html FROM pages')} SELECT page_id, '[{{\"start\":' || (strpos(html, block) - 1) || "
+        "',\"length\":' || length(block) || '}]' AS spans FROM body WHERE block IS NOT NULL",
+        # No link of these pages leads to another page, so every site has its seed's article only.
+        "site_articles": f"WITH {_ART} SELECT CAST(crawl_rank AS VARCHAR) AS site_id, 0 AS crawl_rank, title, url, content, content_text FROM art",
         "page_blocks": "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, "
         f"unnest(regexp_extract_all(regexp_replace(html, '(?is){_OPAQUE}', '', 'g'), "
         "'(?i)<(html|body|article|footer|nav|div|p|ul|li|h1)(?:>|\\s)', 1)) AS tag FROM pages) "

@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from sitefeed.functions import html
 from sitefeed.functions.exprs import strip
-from sitefeed.operators.main_content import cut_spans, main_spans
+from sitefeed.operators.main_content import with_main
 from sitefeed.sources.pages import OK, html_pages, one_per_page, page_snapshot
 
 Extractor = Callable[[pd.Series, pd.Series], pd.Series]
@@ -104,18 +104,14 @@ def extract_articles(
 ) -> DataFrame:
     """Articles of a crawl, with site_id, crawl_rank and depth.
 
-    ``visits`` is the output of ``crawl``. Only pages that the crawl reached are
-    scored; block rows are small, and bodies meet the (narrow) visits in one join.
+    ``visits`` is the output of ``crawl``. Bodies meet the (narrow) visits in one join;
+    only pages that the crawl reached are scored.
     """
     snapshot = html_pages(one_per_page(page_snapshot(pages))).select("page_id", "html")
     wanted = visits.where(F.col("status") == OK).select(
         "site_id", "crawl_rank", "depth", "url", "page_id"
     )
-    scored = snapshot.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
-    wanted = wanted.join(main_spans(scored), "page_id", "left")
-    bodies = wanted.join(snapshot, "page_id").withColumn(
-        "main", cut_spans(F.col("html"), F.col("spans"))
-    )
+    bodies = with_main(wanted.join(snapshot, "page_id"))
     return page_articles(bodies, mode, extractor).select(
         "site_id", "crawl_rank", "depth", "title", "url", "content", "content_text", "content_from"
     )

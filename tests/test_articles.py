@@ -1,9 +1,12 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from sitefeed.operators.articles import extract_articles, page_articles
 from sitefeed.operators.crawl import crawl
 from sitefeed.operators.main_content import block_table, cut_spans, main_spans
-from pyspark.sql import functions as F
+from tests import plain_blocks
 
 LONG = "Some words, and more words, go here to make the paragraph long enough to count. " * 3
 
@@ -120,3 +123,50 @@ def test_articles_of_a_crawl(spark):
     assert found[0].content_text == LONG.strip()
     assert 'src="http://s.com/i.png"' in found[0].content
     assert found[1].content_text == "One\nthin"
+
+
+def given_points(rows):
+    """Paragraph points by plain recursion over the finished block rows."""
+    given = dict.fromkeys((b[0] for b in rows), 0.0)
+    for b in rows:
+        number, parent, grand, tag, _, n, commas, _, has_blocks = b[:9]
+        if (tag in ("p", "td", "pre") or tag == "div" and not has_blocks) and n >= 25:
+            points = 1 + commas + min(n // 100, 3)
+            for target, share in ((parent, 1), (grand, 0.5)):
+                if target >= 0:
+                    given[target] += points * share
+    return given
+
+
+def tangled_pages():
+    """Pages of random tags: nested, unclosed, unopened, with text, entities, comments and scripts between."""
+    rnd = random.Random(12)
+    names = "html body article section nav div p td tr table ul li dl dt dd blockquote h1 pre form b br a span".split()
+    pages = ["", "plain, text. ", "<p>one<p>two", "</div></p>", "<DIV Class='a b' id=c>x</DIV>", "<!-- <div> --><script><div></script>", None]
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 60)):
+            name = rnd.choice(names)
+            attrs = rnd.choice(["", "", "", " class=\"main comment\"", " id='foot>er'", " href=/x class=post"])
+            words = " ".join(rnd.choice(["word,", "longer text", "end. ", "&amp;", "&eacute;x", "\n\t", "&nbsp;"]) for _ in range(rnd.randint(0, 12)))
+            parts.append(rnd.choice([f"<{name}{attrs}>", f"<{name}{attrs}>", f"</{name}>", f"</{name.upper()} >", "<!-- c <p> -->", "<br/>"]) + words)
+        pages.append("".join(parts))
+    return pages
+
+
+def test_blocks_equal_a_plain_walk(spark):
+    pages = tangled_pages()
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {(r.page_id, r.block_id): tuple(r)[2:] for r in block_table(table).collect()}
+    expected = {}
+    for i, page in enumerate(pages):
+        rows = plain_blocks.page_blocks(page or "")
+        given = given_points(rows)
+        expected |= {(i, b[0]): (*b[1:], given[b[0]]) for b in rows}
+    assert len(expected) > 3000 and got == expected
+
+
+def test_main_content_stays_in_the_jvm_and_moves_no_row(spark):
+    plan = main_spans(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
