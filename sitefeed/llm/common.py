@@ -13,6 +13,7 @@ from sitefeed.runtime import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII; the text is lower-cased in A-Z before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def words_of(text: str) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def word_count(text: str) -> Column:
+    """Number of ``words_of``; case does not matter for it, so capitals count as letters."""
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_WORD)).cast("long")
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, modulus: int, per_class: int, max_bytes: int
 ) -> tuple[DataFrame, dict[int, int]]:

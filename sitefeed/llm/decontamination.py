@@ -9,19 +9,21 @@ then compared in the text itself, so matches are exact. ``gap`` > 0 also
 returns proximity matches: the window's words in order with up to ``gap`` extra
 words before the second rarest one.
 
-Texts are identified by their md5, so copies cost one look-up each and rows
+Texts are identified by a 64-bit hash; a chance equality of two only costs look-ups, for
+the words of each text decide. Copies of a text have one place of each window between
+them: places are made distinct before lists are intersected and again after. Rows
 with equal, missing or repeated doc_id keep apart. Null or empty texts have no
-words. Items without an id or without words hold no window; repeated items
+words, very long texts are read whole. Items without an id or without words hold no window; repeated items
 count once. Extra columns of either table are ignored. An empty benchmark gives
-zero hits for every document.
+zero hits for every document, an empty table of documents no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefeed.llm.common import words_of
+from sitefeed.llm.common import word_count, words_of
 from sitefeed.runtime import materialize
 
 WINDOW = 10
@@ -41,7 +43,7 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return (
         cut.groupBy("words")
         .agg(F.collect_set("item_id").alias("items"))
-        .withColumn("win", F.md5(F.array_join("words", " ")))
+        .withColumn("win", F.xxhash64("words"))
     )
 
 
@@ -49,11 +51,15 @@ def window_terms(windows: DataFrame) -> DataFrame:
     return windows.select("win", F.posexplode("words").alias("off", "term"))
 
 
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(text)
+
+
 def build_index(documents: DataFrame, windows: DataFrame) -> DataFrame:
     """Postings (text key, position, word) of every word that a window uses."""
-    vocabulary = materialize(window_terms(windows).select("term").distinct().coalesce(1), "vocabulary")
+    vocabulary = materialize(window_terms(windows).select("term").distinct(), "vocabulary")
     # The key is made before words are dealt out as rows, not once for each of them.
-    texts = documents.where(F.col("text").isNotNull()).select(F.md5("text").alias("key"), words_of("text").alias("words"))
+    texts = documents.where(F.col("text").isNotNull()).select(text_key().alias("key"), words_of("text").alias("words"))
     tokens = texts.select("key", F.posexplode("words").alias("pos", "term"))
     return materialize(tokens.join(vocabulary, "term"), "postings")
 
@@ -71,7 +77,7 @@ def candidates(index: DataFrame, windows: DataFrame, gap: int = 0) -> DataFrame:
     whole = windows.select("win", F.size("words").alias("size"))
     # A window with a word that the corpus lacks cannot occur.
     ranked = ranked.join(whole, "win").where((F.col("present") == F.col("size")) & (F.col("rank") <= 2))
-    ranked = materialize(ranked.drop("present").coalesce(1), "rarest")
+    ranked = materialize(ranked.drop("present"), "rarest")
 
     def places(rank: int) -> DataFrame:
         found = index.join(ranked.where(F.col("rank") == rank), "term")
@@ -79,45 +85,56 @@ def candidates(index: DataFrame, windows: DataFrame, gap: int = 0) -> DataFrame:
         return found.select("key", "win", "size", start).where(F.col("start") >= 0)
 
     single = places(1).where(F.col("size") == 1)
-    second = places(2).drop("size")
+    # Copies of a text, a third of all rows maybe, are put together where they are read.
+    second = places(2).select("key", "win", "start").distinct()
     if gap:
         second = second.select("key", "win", F.explode(F.sequence(F.col("start") - gap, F.col("start") + gap)).alias("start"))
-    pairs = places(1).where(F.col("size") > 1).join(second, ["key", "win", "start"])
-    return single.unionByName(pairs).select("key", "win", "start").distinct()
+    first = places(1).where(F.col("size") > 1).select("key", "win", "start").distinct()
+    pairs = first.join(second.distinct() if gap else second, ["key", "win", "start"])
+    return single.select("key", "win", "start").distinct().unionByName(pairs)
 
 
 def phrase_matches(documents: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """Documents with ``n_words`` and ``matches``: exact window places with their items."""
-    windows = materialize(item_windows(items, width).coalesce(1), "windows")
+    windows = materialize(item_windows(items, width), "windows")
     index = build_index(documents, windows)
     found = candidates(index, windows).join(windows, "win")
     place = F.struct(F.col("start"), F.col("words").alias("phrase"), F.col("items"))
     by_text = found.groupBy("key").agg(F.collect_list(place).alias("places"))
-    texts = documents.select("doc_id", F.md5("text").alias("key"), "text")
-    checked = (
-        texts.join(by_text, "key", "left")
-        .withColumn("words", words_of("text"))
-        .withColumn(
-            "matches",
-            F.filter(
-                F.coalesce("places", F.array().cast(by_text.schema["places"].dataType)),
-                lambda p: F.slice("words", p.start + 1, F.size(p.phrase)) == p.phrase,
-            ),
-        )
-    )
-    return checked.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), "matches")
+    nothing = F.array().cast(by_text.schema["places"].dataType)
+    texts = documents.select("doc_id", text_key().alias("key"), "text")
+    # Words are cut again only where there is a place to look at; elsewhere they are counted.
+    checked = texts.join(by_text, "key", "left").withColumn("words", F.when(F.col("places").isNotNull(), words_of("text")))
+    exact = F.filter("places", lambda p: F.slice("words", p.start + 1, F.size(p.phrase)) == p.phrase)
+    return checked.select("doc_id", "text", word_count("text").alias("n_words"), F.coalesce(exact, nothing).alias("matches"))
 
 
 def proximity_matches(documents: DataFrame, items: DataFrame, gap: int, width: int = WINDOW) -> DataFrame:
-    """(doc_id, win, start, words): windows whose words all occur within ``gap`` extra words."""
-    windows = materialize(item_windows(items, width).coalesce(1), "windows")
+    """(doc_id, win, start, words): windows whose words follow each other in order, with up to ``gap`` others between.
+
+    ``start`` is the place of the first word. Repeated words need as many occurrences.
+    """
+    windows = materialize(item_windows(items, width), "windows")
     index = build_index(documents, windows)
+    # The two rarest words are at most ``gap`` further apart than in the window, wherever it starts.
     near = candidates(index, windows, gap).join(windows, "win")
-    texts = documents.select("doc_id", F.md5("text").alias("key"), words_of("text").alias("tokens"))
-    begin = F.greatest(F.col("start") - gap, F.lit(0))
-    stretch = F.slice("tokens", begin + 1, F.size("words") + 2 * gap)
-    held = texts.join(near, "key").where(F.size(F.array_except("words", stretch)) == 0)
-    return held.select("doc_id", "win", "start", "words")
+    texts = documents.select("doc_id", text_key().alias("key"), words_of("text").alias("tokens"))
+
+    def followed(first: Column) -> Column:
+        """Last place that a walk over the window's words from ``first`` on comes to, each at its next occurrence (0: none)."""
+
+        def step(at: Column, word: Column) -> Column:
+            after = F.slice("tokens", at + 1, F.greatest(F.size("tokens") - at, F.lit(0)))
+            offset = F.array_position(after, word).cast("int")
+            return F.when((at > 0) & (offset > 0), at + offset).otherwise(0)
+
+        return F.aggregate(F.slice("words", 2, F.size("words")), first, step)
+
+    begins = F.sequence(F.greatest(F.col("start") - gap, F.lit(0)) + 1, F.col("start") + gap + 1)
+    starts = F.filter(begins, lambda i: F.get("tokens", i - 1) == F.get("words", F.lit(0)))
+    fits = F.filter(starts, lambda i: followed(i).between(i, i + F.size("words") + gap - 1))
+    held = texts.join(near, "key").select("doc_id", "win", F.explode(fits).alias("at"), "words")
+    return held.select("doc_id", "win", (F.col("at") - 1).alias("start"), "words").distinct()
 
 
 def contamination(documents: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -145,10 +162,10 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = WINDOW) -
 def drop_contaminated(documents: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, all columns kept; repeated rows stay repeated."""
     matches = phrase_matches(documents.select("doc_id", "text"), items, width)
-    hit = matches.where(F.size("matches") > 0).select(F.md5("text").alias("_hit_key")).distinct()
-    keyed = documents.withColumn("_text_key", F.md5("text"))
-    kept = keyed.join(hit, F.col("_text_key") == F.col("_hit_key"), "left_anti")
-    return kept.drop("_text_key")
+    hit = matches.where(F.size("matches") > 0).select(F.md5("text").alias("hit_key")).distinct()
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.md5("text").alias("text_key"))
+    kept = row.join(hit, F.col("text_key") == F.col("hit_key"), "left_anti")
+    return kept.select("row.*")
 
 
 #: Needs views documents and benchmark. Windows by brute force, per window length.
