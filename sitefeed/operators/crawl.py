@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefeed.functions import urls
 from sitefeed.functions.urls import DEFAULT_SUFFIXES
 from sitefeed.operators.links import page_hrefs, resolve_links
 from sitefeed.operators.positions import with_positions
-from sitefeed.runtime import discard, materialize
+from sitefeed.runtime import BucketedRows, discard, materialize, read_together
 from sitefeed.sources.pages import MISSING, OK, fetch_status, html_pages, one_per_page, page_snapshot
 
 MAX_PAGES = 500
-_COMPACT_EVERY = 8
+# Levels whose visits are looked through one by one; older ones lie in buckets.
+_RECENT, _BUCKETS = 8, 64
+# Queue keys are numbered anew before they could pass this.
+_LARGEST_KEY = 2**62
 
 
 def walk(
@@ -35,9 +38,14 @@ def walk(
 
     Returns (site_id, url, depth, crawl_rank, status, extra node columns) where
     ``crawl_rank`` is the position in first-in-first-out visiting order. Within
-    a level that order is (order of the parent, position of the link), so each
-    node carries its parent's key extended by the link position in sortable form:
-    comparing keys of one level compares queue positions, with no global sort.
+    a level that order is (order of the parent, position of the link). A node's
+    queue key is one integer, its parent's key times the number of link positions
+    plus its own position; a level whose children's keys might not fit is numbered
+    anew by range partitions. So rows have one width at any depth, and most levels
+    need no sort.
+
+    A level looks for its nodes among the visits of the last levels and, of all
+    older ones, in the hash buckets that its nodes fall into only.
     """
     extra = [c for c in nodes.columns if c not in ("url", "status")]
     scoped = ["scope"] if "scope" in edges.columns else []
@@ -60,98 +68,128 @@ def walk(
         "site_id",
         "url",
         "visit_key",
-        F.lit("").alias("queue_key"),
+        F.lit(0).cast("bigint").alias("queue_key"),
         F.lit(0).alias("depth"),
         status,
         *scoped,
         *extra,
     )
+    visited = _Visited(edges.sparkSession)
     try:
-        visits = _levels(start, edges, kept, [*scoped, *extra], scoped, max_ok, max_depth)
+        levels = _levels(start, edges, kept, visited, [*scoped, *extra], scoped, max_ok, max_depth)
+        visits = read_together(levels)
         ranked = with_positions(
             visits.select("site_id", "url", "depth", "queue_key", "status", *extra),
-            ["site_id"], ["depth", "queue_key"], "crawl_rank",
+            ["site_id"], ["depth", "queue_key", "url"], "crawl_rank",
         )
     finally:
         # The positions were written, so the levels are no longer needed.
         discard(*made)
+        visited.discard()
     return ranked.select("site_id", "url", "depth", "crawl_rank", "status", *extra)
 
 
+class _Visited:
+    """Visited (site_id, url): the last levels as they are, older ones in buckets."""
+
+    def __init__(self, spark: SparkSession):
+        self.recent: list[DataFrame] = []
+        self.older = BucketedRows(spark, "visited", ["site_id", "url"], _BUCKETS)
+
+    def add(self, level: DataFrame) -> None:
+        if len(self.recent) == _RECENT:
+            self.older.add(self._keys(read_together(self.recent)))
+            self.recent = []
+        self.recent.append(level)
+
+    def _keys(self, levels: DataFrame) -> DataFrame:
+        return levels.select("site_id", F.col("visit_key").alias("url"))
+
+    def without(self, reached: DataFrame, kept: Callable[..., DataFrame]) -> DataFrame:
+        """The rows that were not visited before."""
+        fresh = reached.join(self._keys(read_together(self.recent)), ["site_id", "url"], "left_anti")
+        if not self.older.present:
+            return fresh
+        fresh = kept(fresh, "reached")
+        older = self.older.read(self.older.numbers(fresh))
+        return fresh if older is None else fresh.join(older, ["site_id", "url"], "left_anti")
+
+    def discard(self) -> None:
+        if self.older.present:
+            self.older.discard()
+
+
 def _levels(
     start: DataFrame,
     edges: DataFrame,
     kept: Callable[..., DataFrame],
+    visited: _Visited,
     carried: list[str],
     scoped: list[str],
     max_ok: int | None,
     max_depth: int | None,
-) -> DataFrame:
-    """All levels of the walk; successes per site are running totals."""
+) -> list[DataFrame]:
+    """All levels of the walk; successes per site are running totals where there is a limit."""
     level = kept(start)
     done: list[DataFrame] = []
     totals: DataFrame | None = None
+    positions = int(edges.agg(F.max("pos")).first()[0] or 0) + 1
     depth = 0
     while True:
         ok = F.count_if(F.col("status") == OK)
-        counted = level.groupBy("site_id").agg(ok.alias("n_ok"), ok.alias("n_new"))
-        if totals is not None:
-            former = totals.select("site_id", "n_ok", F.lit(0).cast("bigint").alias("n_new"))
-            both = former.unionByName(counted).groupBy("site_id")
-            counted = both.agg(F.sum("n_ok").alias("n_ok"), F.sum("n_new").alias("n_new"))
-        totals = kept(counted, "totals")
-        peak, fresh = totals.agg(F.max("n_ok"), F.sum("n_new")).first()
-        full = max_ok is not None and peak is not None and peak >= max_ok
+        if max_ok is None:
+            full = False
+            fresh, last = level.agg(ok, F.max("queue_key")).first()
+        else:
+            counted = level.groupBy("site_id").agg(
+                ok.alias("n_ok"), ok.alias("n_new"), F.max("queue_key").alias("last")
+            )
+            if totals is not None:
+                former = totals.select(
+                    "site_id", "n_ok", F.lit(0).cast("bigint").alias("n_new"), F.lit(0).cast("bigint").alias("last")
+                )
+                both = former.unionByName(counted).groupBy("site_id")
+                counted = both.agg(F.sum("n_ok").alias("n_ok"), F.sum("n_new").alias("n_new"), F.max("last").alias("last"))
+            totals = kept(counted, "totals")
+            peak, fresh, last = totals.agg(F.max("n_ok"), F.sum("n_new"), F.max("last")).first()
+            full = peak is not None and peak >= max_ok
         if full:
             level = kept(_cut(level, totals, max_ok))
         done.append(level)
         if not fresh or (max_depth is not None and depth >= max_depth):
-            break
+            return done
+        visited.add(level)
         frontier = level.where(F.col("status") == OK)
         if full:
             finished = totals.where(F.col("n_ok") >= max_ok)
             frontier = frontier.join(finished, "site_id", "left_anti")
-        if len(done) % _COMPACT_EVERY == 0:
-            done = [kept(_union(done))]
+        if (last + 1) * positions > _LARGEST_KEY:
+            parents = frontier.select("site_id", "url", "queue_key", *scoped)
+            numbered = with_positions(parents, ["site_id"], ["queue_key", "url"], "nth")
+            frontier = kept(numbered.withColumn("queue_key", F.col("nth")).drop("nth"), "numbered")
         depth += 1
-        level = kept(_next_level(frontier, edges, _union(done), carried, scoped, depth))
-    return _union(done)
-
-
-def _queue_step(position: Column) -> Column:
-    """Text that sorts like the position, of any size, and is never the start of another.
-
-    The digits in base 36, after one digit that counts them.
-    """
-    digits = F.conv(position.cast("string"), 10, 36)
-    return F.concat(F.conv(F.length(digits).cast("string"), 10, 36), digits)
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        level = kept(_next_level(frontier, edges, positions, visited, kept, carried, scoped, depth))
 
 
 def _next_level(
     frontier: DataFrame,
     edges: DataFrame,
-    visited: DataFrame,
+    positions: int,
+    visited: _Visited,
+    kept: Callable[..., DataFrame],
     carried: list[str],
     scoped: list[str],
     depth: int,
 ) -> DataFrame:
     """Unvisited targets of the frontier, each at its first queue position."""
     parents = frontier.select("site_id", F.col("url").alias("src"), "queue_key", *scoped)
-    step = _queue_step(F.col("pos"))
+    place = F.col("queue_key") * F.lit(positions).cast("bigint") + F.col("pos")
     reached = (
         parents.join(edges, ["src", *scoped])
         .groupBy("site_id", "url", "status", *carried)
-        .agg(F.min(F.concat("queue_key", step)).alias("queue_key"))
+        .agg(F.min(place).alias("queue_key"))
     )
-    seen = visited.select("site_id", F.col("visit_key").alias("url"))
-    return reached.join(seen, ["site_id", "url"], "left_anti").select(
+    return visited.without(reached, kept).select(
         "site_id",
         "url",
         F.col("url").alias("visit_key"),

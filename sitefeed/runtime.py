@@ -6,8 +6,9 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -46,11 +47,55 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def read_together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema made by ``materialize``, as one scan however many they are."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[_stored[t] for t in tables])
+
+
+class BucketedRows:
+    """Rows added from time to time, in one folder per bucket; a reader opens only the buckets it names.
+
+    Nothing that was written is written again, so ``n`` additions cost what their rows cost.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, columns: list[str], buckets: int):
+        self.spark, self.columns, self.buckets = spark, columns, buckets
+        self.path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.present: set[int] = set()
+        self.schema: StructType | None = None
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.buckets)).cast("int")
+
+    def numbers(self, rows: DataFrame) -> set[int]:
+        """The buckets of the rows: at most as many numbers as there are buckets."""
+        return {r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()}
+
+    def add(self, rows: DataFrame) -> None:
+        rows = rows.select(*self.columns)
+        self.schema = rows.schema
+        self.present |= self.numbers(rows)
+        placed = rows.withColumn("bucket", self.bucket())
+        placed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+
+    def read(self, wanted: set[int]) -> DataFrame | None:
+        """The rows of those buckets; None when they hold none."""
+        paths = [f"{self.path}/bucket={b}" for b in sorted(wanted & self.present)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+
+    def discard(self) -> None:
+        _delete(self.spark, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` once nothing lazy refers to them."""
     for table in tables:
         path = _stored.pop(table, None)
         if path:
-            context = table.sparkSession.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(table.sparkSession, path)

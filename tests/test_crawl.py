@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitefeed.operators.crawl import crawl
+from sitefeed.operators import crawl as crawl_module
+from sitefeed.operators.crawl import crawl, walk
 from sitefeed.operators.positions import with_positions
 from sitefeed.operators.report import crawl_report, site_summary
+from sitefeed.runtime import BucketedRows
 
 
 def normal(url):
@@ -130,14 +132,53 @@ def test_positions_of_a_hot_group(spark):
     )
 
 
-def test_queue_steps_sort_like_positions_of_any_size(spark):
-    from sitefeed.operators.crawl import _queue_step
+def graph(spark, links, seed="n0"):
+    """Walk tables of a graph {node: [targets]}; all nodes are ok."""
+    rows = [(a, i, b) for a, targets in links.items() for i, b in enumerate(targets)]
+    nodes = sorted({*links, *(b for _, _, b in rows)})
+    return (
+        spark.createDataFrame(rows, "src string, pos int, dst string"),
+        spark.createDataFrame([("s", seed, seed)], "site_id string, url string, visit_key string"),
+        spark.createDataFrame([(n, "ok") for n in nodes], "url string, status string"),
+    )
+
 
-    places = [0, 1, 9, 10, 35, 36, 1295, 1296, 60_466_175, 60_466_176, 60_466_177, 5_000_000, 2**40, 2**62]
-    table = spark.createDataFrame([(p,) for p in places], "p bigint").select("p", _queue_step(F.col("p")).alias("k"))
-    steps = {r.k: r.p for r in table.collect()}
-    assert [steps[k] for k in sorted(steps)] == sorted(places)
-    assert not any(a != b and b.startswith(a) for a in steps for b in steps)
+def plain_order(links, seed="n0"):
+    queue, order, depth = [(seed, 0)], [], {}
+    while queue:
+        node, d = queue.pop(0)
+        if node not in depth:
+            depth[node] = d
+            order.append(node)
+            queue += [(b, d + 1) for b in links.get(node, []) if b not in depth]
+    return [(n, depth[n], i) for i, n in enumerate(order)]
+
+
+def in_order(visits):
+    return [(r.url, r.depth, r.crawl_rank) for r in visits.orderBy("crawl_rank").collect()]
+
+
+def test_queue_keys_are_numbered_anew_in_time(spark, monkeypatch):
+    rnd = random.Random(21)
+    links = {f"n{i}": [f"n{min(119, i + rnd.randint(1, 14))}" for _ in range(rnd.randint(1, 6))] for i in range(120)}
+    monkeypatch.setattr(crawl_module, "_LARGEST_KEY", 300)
+    visits = walk(*graph(spark, links))
+    assert dict(visits.dtypes)["crawl_rank"] == "bigint"
+    assert in_order(visits) == plain_order(links)
+
+
+def test_a_deep_walk_looks_into_the_buckets_its_nodes_fall_into(spark, monkeypatch):
+    """A chain with ways back; older visits are read by bucket only, and never written twice."""
+    links = {f"n{i}": [f"n{max(0, i - 7)}", f"n{i + 1}", "n3"] for i in range(24)}
+    monkeypatch.setattr(crawl_module, "_RECENT", 2)
+    opened, added = [], []
+    read, add = BucketedRows.read, BucketedRows.add
+    monkeypatch.setattr(BucketedRows, "read", lambda self, wanted: opened.append(len(wanted)) or read(self, wanted))
+    monkeypatch.setattr(BucketedRows, "add", lambda self, rows: added.append(rows.count()) or add(self, rows))
+    assert in_order(walk(*graph(spark, links))) == plain_order(links)
+    # At most three nodes a level: not more buckets, however many visits there are.
+    assert len(opened) > 15 and max(opened) <= 3
+    assert sum(added) <= 25
 
 
 def test_limits_beyond_a_thousand_and_repeated_pages(spark):
