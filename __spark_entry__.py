@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ from sitefeed.operators.main_content import block_table, main_spans, score_block
 from sitefeed.operators.positions import with_positions
 from sitefeed.operators.report import content_report, crawl_report, site_summary
 from sitefeed.plans.site_feeds import site_feeds
-from sitefeed.runtime import materialize
+from sitefeed.runtime import materialize, work_dir
 from sitefeed.sources.pages import html_pages, one_per_page, page_snapshot, spread
+from sitefeed.sources.sinks import lookup_article, read_feed_items, save_articles, write_feeds
 
 try:
     import corpus_pipeline
@@ -429,10 +431,43 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rss_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per domain, as lines: in seq order they are the feed."""
-    found = materialize(exact_dedup.deduplicate(_articles(spark, sf_dir)), "articles")
+    found = exact_dedup.deduplicate(_articles(spark, sf_dir))
     return feed_lines(found, _domain_seeds(spark, sf_dir))
 
 
+def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of written feed files, read back as XML."""
+    path = f"{work_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    write_feeds(rss_feeds(spark, sf_dir), path)
+    return read_feed_items(spark, path).select("title", "link", "description")
+
+
+def saved_article_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eighth article of one domain, from a bucketed table of the catalog."""
+    name = f"articles_{uuid.uuid4().hex}"
+    save_articles(_articles(spark, sf_dir), name)
+    return lookup_article(spark, name, "example.com", 7)
+
+
+def failed_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where contents come from when an extractor fails, gives nothing, blanks or a text, by page number."""
+
+    def moody(page_urls, page_html):
+        numbers = page_html.str.extract(r"track\((\d+)\)", expand=False).astype(int) % 4
+        if (numbers == 0).any():
+            raise ValueError("no extraction of such a page")
+        return numbers.map({1: None, 2: " \n", 3: "<p>found</p>"})
+
+    # Thin pages only: the main content is cut to a tenth of the limit.
+    pages = _pages(spark, sf_dir).select(
+        F.expr(urls.registrable_domain("url")).alias("site_id"),
+        "url",
+        "html",
+        F.substring(F.col("html"), 1, 20).alias("main"),
+    )
+    return content_report(article_ops.page_articles(pages, "v2", moody))
+
+
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block counts per page and element kind."""
     blocks = block_table(_pages(spark, sf_dir))
@@ -472,6 +507,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         link_reach, crawl_visits, deep_crawl, deep_crawl_limited, visit_report, crawl_limit, articles_by_site, article_list,
         unique_documents_null_group, repeated_pages, site_counts_by_rules, image_in_script,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
+        feed_round_trip, saved_article_lookup, failed_extractions,
         site_articles,
     )
     found = {q.__name__: q for q in every}
@@ -780,6 +816,12 @@ def oracle_sql() -> dict[str, str]:
         f"AS seq, {_HEAD_SQL} AS xml FROM seeds UNION ALL SELECT site_id, CAST(crawl_rank AS BIGINT), {_ITEM} "
         "FROM uniq UNION ALL SELECT site_id, CAST(4611686018427387904 AS BIGINT), "
         "'</channel>' || chr(10) || '</rss>' FROM seeds",
+        "feed_round_trip": f"WITH {_ART}, {_UNIQUE} SELECT title, url AS link, content AS description FROM uniq",
+        "saved_article_lookup": f"WITH {_ART} SELECT content FROM (SELECT *, row_number() OVER (PARTITION BY "
+        "site_id ORDER BY crawl_rank) - 1 AS idx FROM art) WHERE site_id = 'example.com' AND idx = 7",
+        "failed_extractions": f"SELECT {domain} AS site_id, CASE CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS INTEGER) % 4 "
+        "WHEN 0 THEN 'failed' WHEN 1 THEN 'none' WHEN 2 THEN 'blank' ELSE 'extractor' END AS content_from, "
+        "count(*) AS n FROM pages GROUP BY 1, 2",
         "unique_documents_null_group": "SELECT doc_id, source, lang, length(text) AS n_chars FROM (SELECT doc_id, "
         "source, text, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM documents) "
         "QUALIFY row_number() OVER (PARTITION BY source, lang, md5(text) ORDER BY doc_id) = 1",

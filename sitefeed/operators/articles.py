@@ -22,30 +22,29 @@ def is_short(text: str) -> str:
 
 
 def extractor_column(extractor: Extractor) -> Callable[[Column, Column], Column]:
-    """Wrap ``extractor(urls, pages) -> contents`` as a vectorised column function.
+    """Wrap ``extractor(urls, pages) -> contents`` as a vectorised column of (content, failed).
 
     NULL pages are not handed to it. If a batch fails, its rows are retried one
-    by one and only the failing ones become NULL.
+    by one and only the failing ones have ``failed`` set and no content.
     """
 
-    def one_by_one(urls: pd.Series, pages: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(urls), index=urls.index, dtype=object)
+    def one_by_one(urls: pd.Series, pages: pd.Series, out: pd.DataFrame) -> None:
         for i in urls.index:
             try:
-                out[i] = extractor(urls[[i]], pages[[i]]).iloc[0]
+                out.loc[i, "content"] = extractor(urls[[i]], pages[[i]]).iloc[0]
             except Exception:  # noqa: BLE001 - a failing page must not fail the job
-                out[i] = None
-        return out
+                out.loc[i, "failed"] = True
 
-    @pandas_udf("string")
-    def call(urls: pd.Series, pages: pd.Series) -> pd.Series:
+    @pandas_udf("content string, failed boolean")
+    def call(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
         wanted = pages.notna()
-        out = pd.Series([None] * len(pages), index=pages.index, dtype=object)
+        out = pd.DataFrame({"content": pd.Series([None] * len(pages), dtype=object), "failed": False})
+        out.index = pages.index
         if wanted.any():
             try:
-                out[wanted] = pd.Series(extractor(urls[wanted], pages[wanted])).to_numpy()
+                out.loc[wanted, "content"] = pd.Series(extractor(urls[wanted], pages[wanted])).to_numpy()
             except Exception:  # noqa: BLE001
-                out[wanted] = one_by_one(urls[wanted], pages[wanted])
+                one_by_one(urls[wanted], pages[wanted], out)
         return out
 
     return call
@@ -66,23 +65,27 @@ def page_articles(
 
     ``main`` is the main content (NULL: the whole page). All steps but the
     extractor are JVM expressions, and the extractor sees thin pages only.
-    ``content_from`` is ``main``, or for thin pages ``extractor`` or ``page``
-    (no extractor, or it failed or gave nothing).
+    ``content_from`` tells where content is from: ``main``, or for thin pages ``extractor``,
+    or the whole page because there is no extractor (``page``), it raised an error on
+    this page (``failed``), gave NULL (``none``) or only blanks (``blank``).
     """
     found = pages.withColumn("_main", F.coalesce("main", "html")).withColumn(
         "_text", F.expr(html.html_to_text("_main"))
     )
     short = is_short("_text")
-    extracted = None
+    extracted, origin = None, "'page'"
     if extractor is not None:
-        extracted = "_extracted"
+        extracted = "_extracted.content"
         call = extractor_column(extractor)
         found = found.withColumn(
-            extracted, call(F.expr(f"if({short}, url, NULL)"), F.expr(f"if({short}, html, NULL)"))
+            "_extracted", call(F.expr(f"if({short}, url, NULL)"), F.expr(f"if({short}, html, NULL)"))
+        )
+        origin = (
+            f"CASE WHEN _extracted.failed THEN 'failed' WHEN {extracted} IS NULL THEN 'none' "
+            f"WHEN {strip(extracted)} = '' THEN 'blank' ELSE 'extractor' END"
         )
     fallback = fallback_content("html", extracted, mode)
-    answered = f"{strip(extracted)} <> ''" if extracted else "false"
-    origin = f"CASE WHEN NOT {short} THEN 'main' WHEN {answered} THEN 'extractor' ELSE 'page' END"
+    origin = f"if({short}, {origin}, 'main')"
     title = html.decorate_title(html.extract_title("html", "url", mode), "url", mode)
     return (
         found.withColumn("_content", F.expr(f"if({short}, {fallback}, _main)"))

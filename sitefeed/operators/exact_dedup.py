@@ -20,32 +20,16 @@ def deduplicate(
 ) -> DataFrame:
     """Keep the first article per text fingerprint within each group.
 
-    The winners are found on keys only. The minimum is combined before the
-    shuffle, so a third of all rows sharing one (for example empty) text cost
-    one row per task, and bodies never enter that shuffle. NULL is a group, a
-    text and a position like any other. Rows that repeat group, position and
-    text count as one article.
+    One pass over the articles: a task keeps the first article of every text that it
+    reads before anything is shuffled, so a third of all rows sharing one (for
+    example empty) text cost one row per task. NULL is a group, a
+    text and a position like any other, the last position. Rows that repeat group,
+    position and text count as one article.
     """
-    group = list(group)
-    keyed = articles.withColumn("_fp", fingerprint(F.col(text)))
-    # How often the first position occurs comes with it; over one is rare.
-    places = keyed.groupBy(*group, "_fp", order).agg(F.count("*").alias("_n"))
-    firsts = places.groupBy(*group, "_fp").agg(
-        F.min(F.struct(F.col(order).alias("at"), F.col("_n").alias("n"))).alias("_first")
-    )
-    won = firsts.select(
-        *[F.col(c).alias(f"_w_{c}") for c in group],
-        F.col("_fp").alias("_w_fp"),
-        F.col("_first.at").alias("_w_at"),
-        F.col("_first.n").alias("_w_n"),
-    )
-    same = F.col("_fp").eqNullSafe(F.col("_w_fp")) & F.col(order).eqNullSafe(F.col("_w_at"))
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    kept = keyed.join(won, same)
-    once = kept.where(F.col("_w_n") == 1)
-    repeated = kept.where(F.col("_w_n") > 1).dropDuplicates([*group, "_fp"])
-    return once.unionByName(repeated).select(*articles.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in articles.columns])
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    kept = articles.groupBy(*group, fingerprint(F.col(text))).agg(F.min_by(row, place).alias("kept"))
+    return kept.select("kept.*")
 
 
 def duplicate_groups(

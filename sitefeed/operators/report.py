@@ -15,7 +15,7 @@ def crawl_report(visits: DataFrame) -> DataFrame:
 
 
 def content_report(articles: DataFrame) -> DataFrame:
-    """(site_id, content_from, n): how often thin pages needed a fallback, and which."""
+    """(site_id, content_from, n): how often thin pages needed a fallback, which, and why."""
     return articles.groupBy("site_id", "content_from").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefeed.operators.positions import with_positions
+
+# Buckets of a saved article table; bytes of a row group of a snapshot.
+ARTICLE_BUCKETS, SNAPSHOT_BLOCK = 64, 16 << 20
+
 
 def write_feeds(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ``feed_lines`` to one folder per site.
@@ -38,6 +43,38 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_snapshot(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Page snapshot as Parquet with a Bloom filter on ``url`` in every row group.
+
+    Rows keep their order and partitions. A lookup of some URLs, by literals or by a
+    frontier whose keys reach the scan, opens only row groups that may hold them.
+    """
+    (
+        pages.write.mode(mode)
+        .option("parquet.bloom.filter.enabled#url", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("parquet.block.size", SNAPSHOT_BLOCK)
+        .parquet(path)
+    )
+
+
+def save_articles(articles: DataFrame, table: str, buckets: int = ARTICLE_BUCKETS, mode: str = "overwrite") -> None:
+    """Article list as a table of the catalog, bucketed by site and sorted by (site, position).
+
+    Adds ``idx``, the 0-based position in crawl order. A lookup by site opens one
+    bucket's files, joins and groupings by site need no shuffle. A bucket is not one file: rows
+    of a huge site come from several tasks and stay apart.
+    """
+    keys = with_positions(articles.select("site_id", "crawl_rank"), ["site_id"], ["crawl_rank"], "idx")
+    rows = articles.join(keys, ["site_id", "crawl_rank"])
+    rows.write.mode(mode).format("parquet").bucketBy(buckets, "site_id").sortBy("site_id", "idx").saveAsTable(table)
+
+
+def lookup_article(spark: SparkSession, table: str, site_id: str, idx: int) -> DataFrame:
+    """(content) of the article at a list position of a saved table; no row when out of range."""
+    return spark.table(table).where((F.col("site_id") == site_id) & (F.col("idx") == idx)).select("content")
+
+
 def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Article table as Parquet, clustered by (site, rank).
 
