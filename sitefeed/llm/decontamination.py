@@ -104,7 +104,9 @@ def phrase_matches(documents: DataFrame, items: DataFrame, width: int = WINDOW)
     nothing = F.array().cast(by_text.schema["places"].dataType)
     texts = documents.select("doc_id", text_key().alias("key"), "text")
     # Words are cut again only where there is a place to look at; elsewhere they are counted.
-    checked = texts.join(by_text, "key", "left").withColumn("words", F.when(F.col("places").isNotNull(), words_of("text")))
+    # The generator keeps the words of a text from being cut again for each of its places.
+    words = F.explode_outer(F.array(F.when(F.col("places").isNotNull(), words_of("text")))).alias("words")
+    checked = texts.join(by_text, "key", "left").select("doc_id", "text", "places", words)
     exact = F.filter("places", lambda p: F.slice("words", p.start + 1, F.size(p.phrase)) == p.phrase)
     return checked.select("doc_id", "text", word_count("text").alias("n_words"), F.coalesce(exact, nothing).alias("matches"))
 
