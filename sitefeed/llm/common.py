@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from sitefeed.runtime import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letters, digits and everything beyond ASCII; the text is lower-cased in A-Z before.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Between words of letters, digits and everything beyond ASCII: in text lower-cased in A-Z, and in any text.
+SEPARATORS, SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +33,18 @@ def lower_ascii(text: str) -> Column:
     )
 
 
+def split_words(text: Column, separators: str) -> Column:
+    """The stretches between separators. Splitting walks through a text once; extracting matches copies it for each."""
+    return F.array_remove(F.split(text, separators, -1), "")
+
+
 def words_of(text: str) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1))
+    return split_words(lower_ascii(text), SEPARATORS)
 
 
 def word_count(text: str) -> Column:
     """Number of ``words_of``; case does not matter for it, so capitals count as letters."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_WORD)).cast("long")
+    return F.size(split_words(F.coalesce(F.col(text), F.lit("")), SIGNS)).cast("long")
 
 
 def labelled_sample(

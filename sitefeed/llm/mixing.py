@@ -36,6 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefeed.llm.common import split_words
 from sitefeed.runtime import materialize
 
 #: Labelled documents that are learnt from; weight, in words, of all domains' common distribution in each domain's.
@@ -51,13 +52,12 @@ PATIENCE = 6
 
 def _tokens(text: str) -> Column:
     """Number of blank-separated words."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long")
+    return F.size(split_words(F.coalesce(F.col(text), F.lit("")), r"\s+")).cast("long")
 
 
 def _features(text: str) -> Column:
     """The numbers of the words of a text, each number once."""
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}]+")
-    words = F.filter(words, lambda w: w != "")
+    words = split_words(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}]+")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FEATURES - 1)).cast("int")))
 
 
