@@ -55,9 +55,10 @@ _COMMON = (
 )
 
 
-def _entity_table() -> str:
-    """Every HTML5 character name, from the standard library, as a JSON object."""
-    return json.dumps({"&" + name: text for name, text in html.entities.html5.items()})
+def _entity_table() -> tuple[str, str, int]:
+    """Every HTML5 character name, from the standard library, ascending, and its characters: two JSON arrays."""
+    known = sorted(("&" + name, chars) for name, chars in html.entities.html5.items())
+    return json.dumps([name for name, _ in known]), json.dumps([chars for _, chars in known]), len(known)
 
 
 def _entity_pattern() -> str:
@@ -77,7 +78,7 @@ def _windows_1252() -> str:
     return json.dumps(table)
 
 
-_ENTITY_JSON = _entity_table()
+_ENTITY_NAMES, _ENTITY_CHARS, _ENTITIES = _entity_table()
 _ENTITY_PATTERN = _entity_pattern()
 _WINDOWS_JSON = _windows_1252()
 
@@ -87,6 +88,28 @@ def _table(entries: str) -> str:
     return f"from_json({text(entries)}, 'map<string,string>')"
 
 
+def _array(entries: str) -> str:
+    """Array literal: parsed once, when the plan is optimised."""
+    return f"from_json({text(entries)}, 'array<string>')"
+
+
+def _named_reference(ref: str) -> str:
+    """Characters of ``&name;`` (itself if unknown), by halving the ascending names."""
+    s, i = fresh(), fresh()
+    halve = let(
+        f"({s}.low + {s}.high) div 2",
+        lambda m: f"if(get({_array(_ENTITY_NAMES)}, CAST({m} AS int)) < {ref}, "
+        f"named_struct('low', {m} + 1, 'high', {s}.high), named_struct('low', {s}.low, 'high', {m}))",
+    )
+    steps = f"sequence(1, {_ENTITIES.bit_length()})"
+    bounds = f"named_struct('low', 0L, 'high', {_ENTITIES - 1}L)"
+    place = f"CAST(aggregate({steps}, {bounds}, ({s}, {i}) -> if({s}.low < {s}.high, {halve}, {s})).low AS int)"
+    return let(
+        place,
+        lambda p: f"if(get({_array(_ENTITY_NAMES)}, {p}) = {ref}, get({_array(_ENTITY_CHARS)}, {p}), {ref})",
+    )
+
+
 def _numeric_reference(ref: str) -> str:
     """Character of ``&#n;`` or ``&#xh;``; U+FFFD where the number is no character."""
     digits = f"regexp_replace({ref}, '^&#[xX]?0*|;$', '')"
@@ -119,7 +142,7 @@ def unescape(value: str) -> str:
         pattern = text(_ENTITY_PATTERN)
         one = (
             f"if(startswith({r}, '&#'), {_numeric_reference(r)}, "
-            f"coalesce(try_element_at({_table(_ENTITY_JSON)}, {r}), {r}))"
+            f"{_named_reference(r)})"
         )
         full = (
             f"array_join(zip_with(split({t}, {pattern}, -1), "

@@ -110,6 +110,19 @@ def html_pages(snapshot: DataFrame) -> DataFrame:
     return snapshot.where(is_success(F.col("status")) & is_html(F.col("content_type")))
 
 
+def look_up_pages(snapshot: DataFrame, wanted: DataFrame, literals: int = 1000) -> DataFrame:
+    """Rows of a stored snapshot for the URLs of ``wanted(url)``; every URL's rows, whatever their number.
+
+    Up to ``literals`` different URLs reach the scan as values, so that row groups whose
+    Bloom filter (``write_snapshot``) has none of them are not read; more are joined.
+    """
+    urls = wanted.select("url").where(F.col("url").isNotNull()).distinct()
+    first = [r.url for r in urls.limit(literals + 1).collect()]
+    if len(first) <= literals:
+        return snapshot.where(F.col("url").isin(first)) if first else snapshot.limit(0)
+    return snapshot.join(urls, "url", "left_semi").select(*snapshot.columns)
+
+
 def seeds(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
     """(site_id, seed_url) from a small mapping; larger seed lists come as a table."""
     return spark.createDataFrame(list(sites.items()), "site_id string, seed_url string")

@@ -50,7 +50,7 @@ def test_extractor_sees_thin_pages_only(spark):
     rows = page_articles(pages, "v2", extract).collect()
     sources = {r.url.rsplit("/")[-1]: r.content_from for r in rows}
     assert sources == {
-        "text": "extractor", "blank": "page", "null": "page", "error": "page", "long": "main",
+        "text": "extractor", "blank": "blank", "null": "none", "error": "failed", "long": "main",
     }
     found = {r.url.rsplit("/")[-1]: r.content for r in rows}
     assert found == {

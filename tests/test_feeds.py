@@ -1,10 +1,19 @@
+import uuid
 import xml.etree.ElementTree as ET
 
 from sitefeed.operators.article_list import article_index, select_article
 from sitefeed.operators.feeds import feed_lines
 from sitefeed.plans.site_feeds import site_feeds
-from sitefeed.sources.pages import read_page_files, read_pages
-from sitefeed.sources.sinks import read_feed, read_feed_items, write_articles, write_feeds
+from sitefeed.sources.pages import look_up_pages, read_page_files, read_pages
+from sitefeed.sources.sinks import (
+    lookup_article,
+    read_feed,
+    read_feed_items,
+    save_articles,
+    write_articles,
+    write_feeds,
+    write_snapshot,
+)
 
 ARTICLES = [
     ("s", 3, 'T <&" 标题', "http://s.com/a?x=1&y=2", "<p>a ]]> b\x01</p>", "t1"),
@@ -133,3 +142,44 @@ def test_whole_job_from_files(spark, tmp_path):
         summary = job.summary.collect()[0]
         assert (summary.n_articles, summary.n_unique) == (3, left)
         assert [(r.content_from, r.n) for r in job.contents.collect()] == [("main", 3)]
+
+
+def scanned_rows(frame):
+    """Rows that the scan of an executed query handed out."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_without_the_wanted_urls_are_not_read(spark, tmp_path):
+    rows = [(f"http://s.com/{i % 4}/{i}", 200, "text/html", f"<p>{i}</p>") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "url string, status int, content_type string, html string")
+    path = str(tmp_path / "snapshot")
+    write_snapshot(pages.repartition(8, "html"), path)
+    snapshot = spark.read.parquet(path)
+    one = look_up_pages(snapshot, spark.createDataFrame([("http://s.com/1/5",), ("http://s.com/1/5",), (None,)], "url string"))
+    assert [r.html for r in one.collect()] == ["<p>5</p>"] and scanned_rows(one) < 1000
+    absent = look_up_pages(snapshot, spark.createDataFrame([("http://s.com/2/no",)], "url string"))
+    assert absent.count() == 0 and scanned_rows(absent) < 1000
+    some = spark.createDataFrame([(r[0],) for r in rows[:30]], "url string")
+    for literals in (10, 1000):
+        assert sorted(r.url for r in look_up_pages(snapshot, some, literals).collect()) == sorted(r[0] for r in rows[:30])
+    assert look_up_pages(snapshot, some.where("url = ''")).count() == 0
+
+
+def test_a_saved_table_is_looked_up_in_one_bucket_without_a_shuffle(spark):
+    rows = [(f"site{i % 9}", i // 9 * 2, f"t{i}", f"c{i}") for i in range(900)]
+    articles = spark.createDataFrame(rows, "site_id string, crawl_rank int, title string, content string")
+    name = "saved_articles_" + uuid.uuid4().hex
+    save_articles(articles, name, buckets=16)
+    try:
+        found = lookup_article(spark, name, "site3", 7)
+        assert [r.content for r in found.collect()] == [f"c{7 * 9 + 3}"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 16" in plan and "Exchange" not in plan
+        assert lookup_article(spark, name, "site3", 100).count() == 0
+        counts = spark.table(name).groupBy("site_id").count()
+        assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql(f"DROP TABLE {name}")
