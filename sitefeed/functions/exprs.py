@@ -53,6 +53,26 @@ def replaced(value: str, pairs) -> str:
     return value
 
 
+def matches(value: str, pattern: str) -> str:
+    """Array of all matches of a pattern, as ``regexp_extract_all`` with group 0 gives them.
+
+    That function copies the text for each match; here the text is walked through
+    twice: matches are marked, then cut out. Text that holds a mark takes the other way.
+    """
+    begin, end = chr(1), chr(2)
+
+    def cut(v: str) -> str:
+        m = fresh()
+        marked = f"regexp_replace({v}, {text(f'({pattern})')}, {text(begin + '$1' + end)})"
+        pieces = let(f"split({marked}, {text(begin)}, -1)", lambda p: f"slice({p}, 2, size({p}))")
+        return (
+            f"if(contains({v}, {text(begin)}) OR contains({v}, {text(end)}), regexp_extract_all({v}, {text(pattern)}, 0), "
+            f"transform({pieces}, {m} -> substring_index({m}, {text(end)}, 1)))"
+        )
+
+    return let(value, cut)
+
+
 def with_computed(df: DataFrame, name: str, value: str) -> DataFrame:
     """Add ``value`` so that later filters on ``name`` do not compute it again.
 

@@ -11,7 +11,7 @@ import codecs
 import html.entities
 import json
 
-from sitefeed.functions.exprs import fresh, let, replaced, strip, text
+from sitefeed.functions.exprs import fresh, let, matches, replaced, strip, text
 from sitefeed.functions.urls import last_segment, resolve_url
 
 ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
@@ -196,7 +196,7 @@ def _named(attrs: str, name: str) -> str:
 def hrefs(page: str) -> str:
     """The ``href`` of every anchor of the whole page, in document order."""
     a, h = fresh(), fresh()
-    anchors = f"regexp_extract_all({strip_opaque(page)}, {text(ANCHOR)}, 0)"
+    anchors = matches(strip_opaque(page), ANCHOR)
     found = f"transform({anchors}, {a} -> {_named(attributes(a), 'href')})"
     return f"filter({found}, {h} -> {h} IS NOT NULL)"
 
@@ -235,7 +235,7 @@ def _meta_title(clean: str) -> str:
         card = f"coalesce({first(ms, 'property', 'og:title')}, {first(ms, 'name', 'twitter:title')})"
         return f"nullif({let(card, lambda c: _named(c, 'content'))}, '')"
 
-    metas = f"regexp_extract_all({clean}, {text(META)}, 0)"
+    metas = matches(clean, META)
     return let(f"transform({metas}, {m} -> {attributes(m)})", pick)
 
 
@@ -270,7 +270,7 @@ def image_source(attrs: str, mode: str = "v2") -> str:
 
 
 def image_tags(content: str) -> str:
-    return f"regexp_extract_all({content}, {text(IMAGE)}, 0)"
+    return matches(content, IMAGE)
 
 
 def _quoted(value: str) -> str:
@@ -318,9 +318,10 @@ def fix_image_urls(content: str, base: str, mode: str = "v2") -> str:
     """
     t, g, i = fresh(), fresh(), fresh()
     # Comments, scripts and styles are pieces of their own and stay as they are.
-    piece = text(f"(?is){OPAQUE}|{IMAGE.removeprefix('(?is)')}")
+    pattern = f"(?is){OPAQUE}|{IMAGE.removeprefix('(?is)')}"
+    piece = text(pattern)
     rewritten = f"if(rlike({t}, '(?i)^<img'), {_rewrite_image(t, base, mode)}, {t})"
-    images = f"transform(regexp_extract_all({content}, {piece}, 0), {t} -> {rewritten})"
+    images = f"transform({matches(content, pattern)}, {t} -> {rewritten})"
     woven = (
         f"array_join(zip_with(split({content}, {piece}, -1), {images}, "
         f"({g}, {i}) -> concat({g}, coalesce({i}, ''))), '')"

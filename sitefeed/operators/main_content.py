@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefeed.functions import html
-from sitefeed.functions.exprs import fresh, let, strings, strip, text, with_computed
+from sitefeed.functions.exprs import fresh, let, matches, strings, strip, text, with_computed
 
 # Fixed values of the published method: tag weights, class name hints, limits.
 TAG_WEIGHT = {
@@ -115,7 +115,7 @@ def _tags(page: str) -> str:
 
         return let(f"lower(regexp_extract({tag}, {text('(?s)^</?([a-zA-Z!][^ ' + chr(92) + 's/>]*)')}, 1))", named)
 
-    pieces, found = f"split({page}, {text(_BLOCK_TAG)}, -1)", f"regexp_extract_all({page}, {text(_BLOCK_TAG)}, 0)"
+    pieces, found = f"split({page}, {text(_BLOCK_TAG)}, -1)", matches(page, _BLOCK_TAG)
     whole = let(f"coalesce({m}, '')", described)
     return f"zip_with({pieces}, {found}, ({g}, {m}) -> {whole})"
 

@@ -1,5 +1,7 @@
 import html as html_lib
+import html.entities  # noqa: F401 - html_lib.entities
 
+from sitefeed.functions.exprs import matches, text
 from sitefeed.functions import html
 
 URL = "http://a.com/p/last"
@@ -79,3 +81,19 @@ def test_images(values):
     assert values(html.fix_image_urls("c", "u", "v1"), rows, ["c", "u"]) == [
         v[1] for v in cases.values()
     ]
+
+
+def test_matches_are_those_of_extraction(values):
+    pages = ["", "no tag", "<a><b c='>'>x</a>", "\x01<a>\x02", "<a>\x02<b>", "$1 <a href=\"$0\\\\\"> \\", "<A\n>é😀<b>"]
+    pattern = r"(?is)</?[a-z][^>]*+>"
+    for fast, plain in zip(
+        values(matches("t", pattern), [(p,) for p in pages], ["t"]),
+        values(f"regexp_extract_all(t, {text(pattern)}, 0)", [(p,) for p in pages], ["t"]),
+    ):
+        assert fast == plain
+
+
+def test_every_character_name_is_known(values):
+    names = sorted(html_lib.entities.html5)
+    cases = [f"x&{n} y" for n in names] + [f"&{n}{n}" for n in names[::50]] + ["&zzzzzz;", "&A;", "&AEli"]
+    assert values(html.unescape("t"), [(c,) for c in cases], ["t"]) == [html_lib.unescape(c) for c in cases]
