@@ -3,12 +3,16 @@
 Two models over the bytes of words, one of toxic and one of ordinary texts,
 predict each byte from up to ``ORDER`` - 1 before it. The long histories are
 counted per class; histories of fewer than ``SHARED`` bytes use continuation counts
-of both classes together, so an expression that is rare in either class falls
-back on the same distribution and tells nothing by its rarity. An expression's
+of both classes together, and an n-gram that a class has in fewer than ``LEAST``
+texts leaves its share to shorter histories, down to the shared ones. So an expression that is
+rare in either class falls back on the same distribution and tells nothing by its
+rarity. An expression's
 evidence is the difference of the two log-likelihoods. A text is judged by the
 evidence of its two strongest words, of its strongest stretch of ``STRETCH``
-words per byte, and of the whole text per byte; a logistic curve, fitted on
-labelled texts that the models have not seen, turns these into a probability.
+words per byte, of the whole text per byte, and of all words that speak for toxicity,
+summed and normalised by the text's length in two ways; a logistic curve turns
+these into a probability. It is fitted on the labelled texts, each judged by models that have
+seen the other folds only; the final models have seen the whole sample.
 
 Learning uses a bounded sample: at most ``PER_CLASS`` labelled rows of each class,
 each of at most ``MAX_BYTES`` bytes, from rows that are not held out. Scoring
@@ -32,9 +36,12 @@ from sitefeed.llm.blocks import heads, look_up
 from sitefeed.llm.common import held_out, labelled_sample, per_batch
 from sitefeed.llm.words import PUNCTUATION, U, Texts, slices, split, word_hashes
 
-ORDER, SHARED, STRETCH, CLEAR = 7, 3, 8, 8.0
-#: Times that an n-gram of a class must be seen to be told from its backoff.
-LEAST = 2
+ORDER, SHARED, STRETCH, CLEAR = 8, 2, 8, 8.0
+#: Texts of a class that must hold an n-gram for the class's own count to matter; folds of the sample.
+LEAST, FOLDS = 6, 4
+#: Evidence of a word from which on it speaks for toxicity, and the most that counts of it: weakly, clearly.
+WEAK, STRONG = (1.0, 4.0), (2.5, 2.0)
+FEATURES = 7
 PER_CLASS, MAX_BYTES = 1500, 1 << 15
 #: Modulus of the crc32 split for toxicity labels.
 SPLIT = 4
@@ -182,9 +189,9 @@ class Evidence:
 
 
 def features(texts: Texts, known: Evidence) -> np.ndarray:
-    """Per text: strongest word, second strongest, strongest stretch and whole text per byte."""
+    """Per text: strongest word, second strongest, strongest stretch and whole text per byte, and sums over words."""
     words = split(texts, PUNCTUATION)
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), FEATURES))
     full = np.flatnonzero(np.diff(words.first))
     if not len(full):
         return out
@@ -206,31 +213,49 @@ def features(texts: Texts, known: Evidence) -> np.ndarray:
     out[full, 1] = np.clip(second, 0, CLEAR)
     out[full, 2] = np.maximum.reduceat(stretch, first)
     out[full, 3] = np.add.reduceat(gain, first) / np.add.reduceat(size, first)
+    number = np.diff(words.first)[full]
+    weak, strong = (np.add.reduceat(np.clip(gain - least, 0, most), first) for least, most in (WEAK, STRONG))
+    out[full, 4], out[full, 5], out[full, 6] = weak / np.sqrt(number), np.log1p(weak), strong / number
     return out
 
 
+def distinct_words(text: bytes) -> set[bytes]:
+    """A word counts once per text: a text that repeats itself tells no more."""
+    found: set[bytes] = set()
+    for part in slices(pa.array([text], pa.binary()).cast(pa.string()), lower=True):
+        words, content = split(part, PUNCTUATION), part.data.tobytes()
+        found.update(content[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True))
+    return found
+
+
+def judged(texts: list[bytes], model: KneserNey) -> np.ndarray:
+    known = Evidence(model)
+    column = pa.array(texts, pa.binary()).cast(pa.string())
+    return np.concatenate([np.zeros((0, FEATURES)), *[features(p, known) for p in slices(column, lower=True)]])
+
+
 class Judge:
     """Models, and the logistic curve over the features of a text."""
 
     def __init__(self, texts: list[bytes], labels: list[int], counts: dict[int, int]):
-        apart = np.arange(len(texts)) % 3 == 2
-        seen = [Counter(), Counter()]
-        for text, label, later in zip(texts, labels, apart, strict=True):
-            if not later:
-                # A word counts once per text: a text that repeats itself tells no more.
-                column = pa.array([text], pa.binary()).cast(pa.string())
-                for part in slices(column, lower=True):
-                    words, content = split(part, PUNCTUATION), part.data.tobytes()
-                    spans = zip(words.start.tolist(), words.end.tolist(), strict=True)
-                    seen[label].update({content[a:b] for a, b in spans})
-        self.model = KneserNey(seen)
-        known = Evidence(self.model)
-        chosen = [t for t, later in zip(texts, apart, strict=True) if later]
-        rows = np.concatenate([features(p, known) for p in slices(pa.array(chosen, pa.binary()).cast(pa.string()), lower=True)])
-        y = np.array(labels, float)[apart]
+        words = [distinct_words(t) for t in texts]
+
+        def model(chosen: np.ndarray) -> KneserNey:
+            seen = [Counter(), Counter()]
+            for i in chosen:
+                seen[labels[i]].update(words[i])
+            return KneserNey(seen)
+
+        fold = np.arange(len(texts)) % FOLDS
+        rows = np.zeros((len(texts), FEATURES))
+        for k in range(FOLDS):
+            own = np.flatnonzero(fold == k)
+            rows[own] = judged([texts[i] for i in own], model(np.flatnonzero(fold != k)))
+        self.model = model(np.arange(len(texts)))
+        y = np.array(labels, float)
         self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-9
         x = np.hstack([(rows - self.mean) / self.scale, np.ones((len(rows), 1))])
-        w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * 4 + [1e-3])
+        w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * FEATURES + [1e-3])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve(x.T * (p * (1 - p)) @ x + ridge, x.T @ (y - p) - ridge @ w)
