@@ -491,6 +491,12 @@ def site_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_articles_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job in the older variant: its titles, fallback and near-duplicate removal."""
+    job = site_feeds(_pages(spark, sf_dir), _page_seeds(spark, sf_dir), "v1")
+    return job.articles.select("site_id", "crawl_rank", "title", "url", "content", "content_text")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Unique articles of all pages."""
     return unique_articles(spark, "/root/testdata/sf0.001")
@@ -508,7 +514,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         unique_documents_null_group, repeated_pages, site_counts_by_rules, image_in_script,
         article_lookup, rss_items, rss_feeds, page_blocks, block_scores, main_content,
         feed_round_trip, saved_article_lookup, failed_extractions,
-        site_articles,
+        site_articles, site_articles_v1,
     )
     found = {q.__name__: q for q in every}
     if corpus_queries:
@@ -833,6 +839,9 @@ def oracle_sql() -> dict[str, str]:
         "block_scores": f"WITH {_main_sql('SELECT page_id, url, html FROM pages')} SELECT page_id, block_id, tag, points FROM scores",
         "main_content": f"WITH {_main_sql('SELECT page_id, url, html FROM pages')} SELECT page_id, '[{{\"start\":' || (strpos(html, block) - 1) || "
         "',\"length\":' || length(block) || '}]' AS spans FROM body WHERE block IS NOT NULL",
+        "site_articles_v1": f"WITH {_ART} SELECT CAST(page_id AS VARCHAR) AS site_id, 0 AS crawl_rank, {_title_v1('html')} AS title, url, "
+        f"CASE WHEN length(art_text) < 200 THEN {_text('html')} ELSE art END AS content, "
+        f"CASE WHEN length(art_text) < 200 THEN {_text(_text('html'))} ELSE art_text END AS content_text FROM texted",
         # No link of these pages leads to another page, so every site has its seed's article only.
         "site_articles": f"WITH {_ART} SELECT CAST(crawl_rank AS VARCHAR) AS site_id, 0 AS crawl_rank, title, url, content, content_text FROM art",
         "page_blocks": "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, "
