@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefeed.llm.common import held_out, labelled_sample, per_batch
+from sitefeed.llm.common import held_out, labelled_sample, per_batch, unused
 from sitefeed.llm.words import slices
 
 CHUNK, STEP, WIDTH, STRIDE = 256, 192, 8, 4
@@ -187,8 +187,11 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     return fit([t.encode() for t in found.text], [int(x) for x in found.label], counts)
 
 
-def with_quality(documents: DataFrame, model: ByteCNN | float, threshold: float = 0.7) -> DataFrame:
-    """All columns of the documents plus ``quality_score`` and ``quality_predicted``."""
+def with_quality(
+    documents: DataFrame, model: ByteCNN | float, threshold: float = 0.7,
+    scored: str = "quality_score", predicted: str = "quality_predicted",
+) -> DataFrame:
+    """All columns of the documents plus two, which by default are ``quality_score`` and ``quality_predicted``."""
     names = documents.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -205,10 +208,10 @@ def with_quality(documents: DataFrame, model: ByteCNN | float, threshold: float
             score = np.concatenate([score_texts(net, tables[0], t.data, t.offsets) for t in slices(column)])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
-            [*batch.schema.names, "quality_score", "quality_predicted"],
+            [*batch.schema.names, scored, predicted],
         )
 
-    return per_batch(documents, f"{kinds}, quality_score double, quality_predicted int", work)
+    return per_batch(documents, f"{kinds}, {scored} double, {predicted} int", work)
 
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -224,5 +227,6 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier accepts, with their own columns only."""
-    scored = with_quality(documents, train(documents, labels), threshold)
-    return scored.where(F.col("quality_predicted") == 1).select(*documents.columns)
+    score, predicted = (unused(documents.columns, n) for n in ("quality_score", "quality_predicted"))
+    scored = with_quality(documents, train(documents, labels), threshold, score, predicted)
+    return scored.where(F.col(predicted) == 1).drop(score, predicted)

@@ -74,6 +74,14 @@ def labelled_sample(
     return rows, counts
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def per_batch(frame: DataFrame, schema: str, work, *columns: str) -> DataFrame:
     """``work`` maps Arrow batches of ``columns`` to record batches or tables."""
     frame = frame.select(*columns) if columns else frame

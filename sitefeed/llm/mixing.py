@@ -251,10 +251,11 @@ class Mixture:
 
     def apply(self, documents: DataFrame) -> DataFrame:
         """All columns of the documents (but a former ``rate``) plus ``rate``, row by row."""
-        rows = documents.drop("rate")
-        keep = [f"`{c}`" for c in rows.columns]
-        members = self._scaled(memberships(rows, self.model, *keep))
-        return members.select(*keep, _rate(self.steps).alias("rate"))
+        columns = [F.col(f"`{c}`") for c in documents.drop("rate").columns]
+        # The whole row is one column here, so its names may be any.
+        rows = documents.select(F.struct(*columns).alias("_row"), "text")
+        members = self._scaled(memberships(rows, self.model, "_row"))
+        return members.select("_row.*", _rate(self.steps).alias("rate"))
 
 
 def rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -244,18 +244,19 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
 def keep_one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with the least doc_id of their class, all columns kept.
 
-    Rows that repeat a kept doc_id count as one document: one of them stays.
-    Rows without doc_id stay.
+    Rows that repeat a kept doc_id and its text count as one document: of them the one stays
+    whose columns have the least digest. Rows without doc_id stay.
     """
     joined = jaccard_join(documents.select("doc_id", "text"), threshold)
-    kept = joined.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept_id")).agg(
-        F.count("*").alias("_rows")
-    )
-    rows = documents.join(materialize(kept, "kept"), F.col("doc_id") == F.col("_kept_id"))
-    single = rows.where("_rows = 1").select(*documents.columns)
-    repeated = rows.where("_rows > 1").select(*documents.columns).dropDuplicates(["doc_id"])
-    nameless = documents.where(F.col("doc_id").isNull())
-    return single.unionByName(repeated).unionByName(nameless)
+    kept = joined.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    # The whole row is one column here, so its names may be any.
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    named = documents.select(row.alias("row")).join(materialize(kept, "kept"), F.col("row.doc_id") == F.col("kept_id"))
+    single = named.where("n = 1").select("row")
+    digest = F.md5(F.to_json("row"))
+    repeated = named.where("n > 1").groupBy("kept_id", F.col("row.text").alias("of_text")).agg(F.min_by("row", digest).alias("row"))
+    nameless = documents.where(F.col("doc_id").isNull()).select(row.alias("row"))
+    return single.unionByName(repeated.select("row")).unionByName(nameless).select("row.*")
 
 
 #: Brute force: all pairs that share an n-gram, then the closure of the links.

@@ -94,3 +94,20 @@ def test_stages_of_no_documents(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "stage")
         assert docs.count() == 0
+
+
+def test_stages_keep_columns_whose_names_are_inner_ones(spark, tables):
+    """Every stage with every inner name as a further column, and a very long text."""
+    sf_dir, _ = tables
+    names = (
+        "quality_score quality_predicted _kept_id _rows kept kept_id n row of_text links class_id node rep copies key places words matches "
+        "_text_key _hit_key text_key hit_key start win secret_spans spans _tokens _text _h _at _f _known _row _p0 _s0 _x _r label toxic"
+    ).split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = docs.limit(1).selectExpr("9000 AS doc_id", "repeat('lokan rest vimi ', 200000) AS text", "lang", "source", "n_chars")
+    docs = docs.unionByName(long).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf_dir)
+        rows = after.collect()
+        assert after.columns[: len(docs.columns)] == docs.columns, name
+        assert rows and all(r[n] == n for r in rows[:50] for n in names), name
