@@ -10,9 +10,10 @@ shorter history, weighted with the mass left to unseen tokens:
 
 with one m per order (Dirichlet smoothing). The empty history holds discounted
 token shares; its discount is spread evenly over all tokens and one unknown. A
-history is a state if it was seen at least ``LEAST_STATE`` times. The traversal
-goes once from left to right: the state after a token is the longest history that
-is a state, and a text starts and ends in the state of an end.
+history is a state if it was seen at least ``LEAST_STATE`` times. The score is that of
+one walk from left to right: the state after a token is the longest history that
+is a state, and a text starts and ends in the state of an end. No state is carried:
+all places are computed at once, by the equal interpolation from the shortest order up.
 
 Counts cover every text that is not held out. The automaton is never in one
 place: blocks of documents ask for the counts of their own n-grams (see blocks),
@@ -22,7 +23,8 @@ one another, so n-grams after histories that are no states are never asked for.
 Null or empty texts are one end. Rows without doc_id are learnt from, not held
 out. With nothing to learn from, all scores are zero. Words are told apart by 64
 bits of hash, longer n-grams by 56. Repeated rows count and score as often as
-they occur.
+they occur. Texts of any length are scored whole; further columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

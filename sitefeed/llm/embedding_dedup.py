@@ -19,7 +19,7 @@ holds more than two tiles.
 Null, empty or zero vectors, vectors with a null or non-finite number, and rows
 without label link with nothing; so do vectors of different lengths. Rows
 without vec_id have no links and no component. Repeated rows of one vec_id are
-copies of each other.
+copies of each other. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ share a wording, the shortest text that has it is named.
 Words are letters, digits and non-ASCII, lower-cased in A-Z, so capitals, line
 breaks and signs between words do not matter. Whole texts are searched. Null or
 empty texts have no licenses. Spans count code points of the text, end
-exclusive. Repeated rows give repeated rows; other columns are ignored.
+exclusive. Repeated rows give repeated rows; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

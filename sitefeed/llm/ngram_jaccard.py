@@ -15,7 +15,8 @@ class to the least one it reaches.
 Texts without words link with nothing. Rows without doc_id are left alone: no
 class, no links. Rows of equal doc_id and equal n-grams count as copies; equal
 doc_ids with different texts share their class. Hashes of n-grams and of n-gram
-sets have 64 bits.
+sets have 64 bits. Texts of any length give all their n-grams; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

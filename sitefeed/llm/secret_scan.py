@@ -13,7 +13,7 @@ over a kind's threshold add a span of kind ``format``. Base findings always stay
 
 Whole texts are scanned. Null or empty texts have no findings. Without any known
 credential no format spans are added. Offsets count code points, end exclusive.
-Repeated rows give repeated rows; other columns are ignored.
+Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

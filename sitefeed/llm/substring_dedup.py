@@ -16,7 +16,8 @@ blanks and compared unchanged. Anchors are found by 48-bit hashes, which only
 select; windows are compared by 80 bits of two hashes.
 
 Null or empty texts have no words. Rows without doc_id keep all words and remove
-none. Repeated rows of one doc_id do not remove each other's words.
+none. Repeated rows of one doc_id do not remove each other's words. Texts of any length
+are worked on whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
