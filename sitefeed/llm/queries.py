@@ -103,6 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard": ngram_jaccard.SQL,
         "op5_embedding_dedup": embedding_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op8_substring_dedup": substring_dedup.SQL,
         "op11_vector_codes": vector_codes.SQL,
         "op12_lexical_search": lexical_search.SQL,
         "op13_exact_dedup": extendible_hash.SQL,

@@ -191,3 +191,17 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     repeats = answer(asked, 3, reply_windows)
     named = dealt.cogroup(repeats.groupBy("block")).applyInArrow(remove, RESULT)
     return named.unionByName(per_batch(rows.where("doc_id IS NULL"), RESULT, _unchanged, "text"))
+
+
+#: Brute force: every window as text. Needs a view documents with distinct doc_ids.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+starts AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 50 + 2)) p FROM d WHERE len(w) >= 50),
+windows AS (SELECT rid, doc_id, p, array_to_string(list_slice(w, p, p + 49), ' ') s FROM starts),
+firsts AS (SELECT s, min(doc_id) least FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) q FROM windows JOIN firsts USING (s) WHERE doc_id > least),
+words AS (SELECT rid, unnest(w) x, generate_subscripts(w, 1) q FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY q) text, count(*) n FROM words ANTI JOIN gone USING (rid, q) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept.text, '')) kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

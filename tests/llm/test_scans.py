@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -73,6 +74,42 @@ def test_proximity(spark, documents, prose):
     assert [r.doc_id for r in found] == [1]
 
 
+def test_proximity_keeps_order_and_repeats(spark, documents):
+    r = random.Random(31)
+    letters = "ab cd ef gh ij".split()
+    rows = [(i, " ".join(r.choice(letters) for _ in range(r.randint(0, 14)))) for i in range(120)]
+    items = [(1, "ab cd ab ef gh"), (2, "ij ij"), (3, "gh"), (4, "zz ab")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = set()
+    for _, text in items:
+        w = text.split()
+        windows |= {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))}
+    for gap in (0, 2):
+        expected = set()
+        for i, text in rows:
+            words = text.split()
+            for window in windows:
+                for start in range(len(words)):
+                    at = start if words[start] == window[0] else None
+                    for word in window[1:]:
+                        at = next((k for k in range(at + 1, len(words)) if words[k] == word), None) if at is not None else None
+                    if at is not None and at < start + len(window) + gap:
+                        expected.add((i, start, window))
+        found = decontamination.proximity_matches(documents(rows), table, gap, width=4).collect()
+        assert sorted((m.doc_id, m.start, tuple(m.words)) for m in found) == sorted(expected) and expected
+
+
+def test_copies_meet_their_windows_once(spark, documents, prose):
+    """A thousand copies of a text with a passage are one place of each window, not copies squared."""
+    passage = prose(14, 70)
+    rows = [(i, f"{prose(5, 71)} {passage} end") for i in range(1000)] + [(2000, prose(30, 72))]
+    windows = decontamination.item_windows(spark.createDataFrame([(1, passage)], "item_id bigint, text string"))
+    index = decontamination.build_index(documents(rows), windows)
+    assert decontamination.candidates(index, windows).count() == 5
+    hits = decontamination.contamination(documents(rows), spark.createDataFrame([(1, passage)], "item_id bigint, text string"))
+    assert hits.where("n_hit = 14").count() == 1000 and hits.where("NOT contaminated").count() == 1
+
+
 def plain_base(text):
     found = []
     pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
