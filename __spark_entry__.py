@@ -316,8 +316,8 @@ def near_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of documents of a source and language, with their ratio."""
-    return near_dedup.near_pairs(_documents(spark, sf_dir), ["source", "lang"], "doc_id", "text")
+    """Similar pairs of documents of a language, whatever their sources, with their ratio."""
+    return near_dedup.near_pairs(_documents(spark, sf_dir), ["lang"], "doc_id", "text")
 
 
 def near_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
