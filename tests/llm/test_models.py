@@ -63,6 +63,17 @@ def test_lm_equals_brute_force(documents, prose, monkeypatch):
         assert r[5:] == pytest.approx(e[5:], rel=1e-9)
 
 
+def test_lm_walks_long_texts_in_stretches(documents, prose):
+    """Texts around whole stretches, among repeated ones, so that pairs and triples are states."""
+    k = backoff_lm.STRIDE
+    rows = [(i, prose(n, i % 3)) for i, n in enumerate([k - 2, k - 1, k, k + 1, 2 * k - 1, 2 * k, 3 * k + 5, 1, 0, 3 * k])]
+    rows += [(100 + i, f"{rows[6][1]} {rows[i][1]}") for i in range(4)]
+    got = backoff_lm.score(documents(rows)).collect()
+    for r, e in zip(sorted(map(tuple, got)), sorted(brute_lm(rows)), strict=True):
+        assert r[:5] == e[:5]
+        assert r[5:] == pytest.approx(e[5:], rel=1e-9)
+
+
 def test_lm_root_is_a_distribution():
     """Known tokens and one unknown share exactly one."""
     counts = np.array([1, 1, 1, 2, 2, 5, 9])
