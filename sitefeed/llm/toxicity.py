@@ -3,11 +3,11 @@
 Two models over the bytes of words, one of toxic and one of ordinary texts,
 predict each byte from up to ``ORDER`` - 1 before it. The long histories are
 counted per class; histories of fewer than ``SHARED`` bytes use continuation counts
-of both classes together, and an n-gram that a class has in fewer than ``LEAST``
-texts leaves its share to shorter histories, down to the shared ones. So an expression that is
-rare in either class falls back on the same distribution and tells nothing by its
-rarity. An expression's
-evidence is the difference of the two log-likelihoods. A text is judged by the
+of both classes together. Every n-gram of a class counts, also one seen once; but besides
+its discount, a history of a class gives ``MASS`` counts to the shorter history, down to
+the shared ones. So an expression that is rare in either class is predicted mostly by the
+same distribution and tells little by its rarity; the more often a class has it, the more
+it tells. An expression's evidence is the difference of the two log-likelihoods. A text is judged by the
 evidence of its two strongest words, of its strongest stretch of ``STRETCH``
 words per byte, of the whole text per byte, and of all words that speak for toxicity,
 summed and normalised by the text's length in two ways; a logistic curve turns
@@ -37,8 +37,8 @@ from sitefeed.llm.common import held_out, labelled_sample, per_batch
 from sitefeed.llm.words import PUNCTUATION, U, Texts, slices, split, word_hashes
 
 ORDER, SHARED, STRETCH, CLEAR = 8, 2, 8, 8.0
-#: Texts of a class that must hold an n-gram for the class's own count to matter; folds of the sample.
-LEAST, FOLDS = 6, 4
+#: Counts that a history of a class leaves to the shorter one besides its discount; folds of the sample.
+MASS, FOLDS = 30.0, 4
 #: Evidence of a word from which on it speaks for toxicity, and the most that counts of it: weakly, clearly.
 WEAK, STRONG = (1.0, 4.0), (2.5, 2.0)
 FEATURES = 7
@@ -78,19 +78,17 @@ def summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Level:
     """One order: probability of each seen n-gram, and what each history leaves to the shorter one."""
 
-    def __init__(self, keys: np.ndarray, count: np.ndarray, lower: np.ndarray, least: int):
-        """N-grams seen less than ``least`` times leave all their share to the shorter history."""
+    def __init__(self, keys: np.ndarray, count: np.ndarray, lower: np.ndarray, mass: float):
+        """``mass`` is added to the discounted counts that the shorter history shares out."""
         once, twice = (count == 1).sum(), (count == 2).sum()
         discount = once / (once + 2 * twice) if once else 0.5
         history = keys >> U(8)
         first = heads(history)
-        total = np.add.reduceat(count, first)
+        total = np.add.reduceat(count, first) + mass
         at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        share = np.where(count >= least, np.maximum(count - discount, 0), 0) / total[at]
+        share = np.maximum(count - discount, 0) / total[at]
         self.histories, self.left = history[first], 1 - np.add.reduceat(share, first)
-        kept = count >= least
-        self.keys = keys[kept]
-        self.p = (share + self.left[at] * lower)[kept]
+        self.keys, self.p = keys, share + self.left[at] * lower
 
     def refine(self, key: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities with this order's history, and where that history is known."""
@@ -132,8 +130,8 @@ class KneserNey:
                     tail = longer & U((1 << 8 * k) - 1)
                     parts = [(tail, np.ones(len(tail))), *[g[k][1] for g in group]]
                     keys, count = summed(*map(np.concatenate, zip(*parts, strict=True)))
-                side, least = len(self.levels[-1]), 1 if k <= SHARED else LEAST
-                self.levels[-1].append(Level(keys, count, self._lower(k, keys, side), least))
+                side, mass = len(self.levels[-1]), 0.0 if k <= SHARED else MASS
+                self.levels[-1].append(Level(keys, count, self._lower(k, keys, side), mass))
 
     def _lower(self, k: int, keys: np.ndarray, side: int) -> np.ndarray:
         p = np.full(len(keys), 1 / 256)
