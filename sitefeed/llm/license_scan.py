@@ -4,17 +4,18 @@ Two kinds of templates: the full texts of common licenses with the standard
 headers of others (``license_texts``, ``HEADERS``), and short notices, every name
 form of a license (``FORMS``) in every wording of ``FRAMES``. A block is compressed
 alone and once with each template in question as a zstandard raw dictionary; the
-templates that save something are tried in the order of their savings and
-confirmed by the exact differences in wording. Of those confirmed, the one with
-most words equal, an edit counting as three, describes the place; then the text
-before and after it is tried again.
+templates that save something are ranked by the share they save and confirmed by
+the exact differences in wording. The license of the best confirmed template is
+named; if several of its wordings are confirmed, the one with most words equal, an
+edit counting as three, describes the place. Then the text before and after it is
+tried again.
 
 Only words that name a license or its version are untouchable, in the template
 and in the text: they must stand in both. A notice is found as a whole, with at
 most ``EDITS`` of its words edited. Of a full text any stretch is found that has
 ``LEAST`` words equal and at most one edit to three of them; such a stretch
 always has three equal words in a row, by which blocks are found. Where licenses
-share a wording, the shortest text that has it is named.
+share a wording and save the same, the shortest text that has it is named.
 
 Words are letters, digits and non-ASCII, lower-cased in A-Z, so capitals, line
 breaks and signs between words do not matter. Whole texts are searched. Null or
@@ -291,14 +292,20 @@ def text_stretches(words: list[str]) -> list[tuple[int, int, str, int]]:
                 template = full_texts()[tried[k]]
                 score, edits, begin, end = best_stretch(template, coded[tried[k]], words[a:b], numbers)
                 if score > 0 and score + 3 * edits >= LEAST:
-                    options.append((-score, len(template.words), -saved, template.name, edits, a + begin, a + end))
+                    options.append((saved, (-score, len(template.words)), template.name, edits, a + begin, a + end))
             if options:
-                *_, name, edits, begin, end = min(options)
+                *_, name, edits, begin, end = winner(options)
                 found.append((begin, end, name, edits))
                 pending += [(a, begin), (end, b)]
     return sorted(found)
 
 
+def winner(options: list[tuple]) -> tuple:
+    """Of confirmed (savings, difference, name, ...) the license with most savings, in its nearest wording."""
+    name = min((-saved, difference, name) for saved, difference, name, *_ in options)[-1]
+    return min((o for o in options if o[2] == name), key=lambda o: (o[1], -o[0], o[3:]))
+
+
 @lru_cache(maxsize=None)
 def own_words(k: int) -> frozenset[str]:
     return frozenset(full_texts()[k].words)
@@ -345,9 +352,9 @@ def short_notices(words: list[str]) -> list[tuple[int, int, str, int]]:
                 own = tried[k]
                 edits, a, b = differences(own, words[low:high])
                 if edits <= EDITS * len(own.words):
-                    options.append((4 * edits - len(own.words), -saved, own.name, edits, low + a, low + b))
+                    options.append((saved, (4 * edits - len(own.words), 0), own.name, edits, low + a, low + b))
             if options:
-                rank, _, name, edits, a, b = min(options)
+                _, (rank, _), name, edits, a, b = winner(options)
                 found[a, b] = min(found.get((a, b), (rank, edits, name)), (rank, edits, name))
                 pending += [(low, a), (b, high)]
     # Overlapping blocks may both report a notice, one of them cut short.
