@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -48,6 +49,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LEAST = 16
 #: Labelled credentials and ordinary words that automata are inferred from, for each kind.
 SAMPLE = 400
+#: Most characters of a credential that automata are inferred from; longer ones are found as any other.
+LONGEST = 512
 #: Confidence of the merge test, and share of known credentials under the threshold.
 ALPHA, MISSED = 0.05, 0.02
 
@@ -205,13 +208,16 @@ def suspects(texts: Texts) -> np.ndarray:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs with a digit and a letter that touch no base span."""
-    out = []
+    """Runs with a digit and a letter that touch no base span; ``taken`` is sorted."""
+    out, passed, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         low, high = m.span()
-        if high - low >= LEAST and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-            if not any(a < high and low < b for a, _, b, _ in taken):
-                out.append((low, high, m[0]))
+        # Of the base spans that begin before the run ends, how far the furthest goes.
+        while passed < len(taken) and taken[passed][0] < high:
+            reach = max(reach, taken[passed][2])
+            passed += 1
+        if high - low >= LEAST and low >= reach and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            out.append((low, high, m[0]))
     return out
 
 
@@ -228,11 +234,13 @@ def known_credentials(documents: DataFrame, sample: int = SAMPLE) -> tuple[dict[
             for i in suspects(texts):
                 text = batch.column(0)[texts.row + int(i)].as_py() or ""
                 for _, kind, _, value in base_spans(text):
-                    add(KINDS[kind], value[:512])
-            # One word of each text, from a place that its size decides, stands for ordinary runs.
+                    if len(value) <= LONGEST:
+                        add(KINDS[kind], value)
+            # One word of each text, from a place that its bytes decide, stands for ordinary runs.
             content = texts.data.tobytes()
+            view = memoryview(content)
             for low, high in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True):
-                begin = content.find(b" ", low + (high - low) * 2654435761 % max(1, high - low), high) + 1
+                begin = content.find(b" ", low + zlib.crc32(view[low:high]) % max(1, high - low), high) + 1
                 end = content.find(b" ", begin, high) if begin else 0
                 word = content[begin:end] if begin and end > begin + 3 else b""
                 if word.isalpha():
