@@ -1,6 +1,8 @@
 import uuid
 import xml.etree.ElementTree as ET
 
+from pyspark.sql import functions as F
+
 from sitefeed.operators.article_list import article_index, select_article
 from sitefeed.operators.feeds import feed_lines
 from sitefeed.plans.site_feeds import site_feeds
@@ -184,3 +186,21 @@ def test_a_saved_table_is_looked_up_in_one_bucket_without_a_shuffle(spark):
         assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_lists_and_saved_tables_parse_each_article_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def rank(n):
+        parsed.add(1)
+        return n
+
+    rows = spark.range(40).select(F.lit("s").alias("site_id"), rank("id").alias("crawl_rank"), F.col("id").cast("string").alias("title"))
+    assert sorted((r.idx, r.label) for r in article_index(rows).collect()) == [(i, f"{i}") for i in range(40)]
+    assert parsed.value == 40
+    name = f"saved_{uuid.uuid4().hex}"
+    save_articles(rows.withColumn("content", F.col("title")), name)
+    assert parsed.value == 80
+    assert [r.content for r in lookup_article(spark, name, "s", 7).collect()] == ["7"]
+    spark.sql(f"DROP TABLE {name}")
